@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontaminate, mixing, sharding, toxicity
 from .shared import docs_table
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds: doc_id, item_id, start, similarity."""
+    return decontaminate.leaks(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs_table(spark, sf_dir).select("doc_id"), shards=64, slots=16381)
 
@@ -19,8 +24,20 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity.fit(docs, docs_table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= toxicity.ALERT).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", predicted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sharding": op7_sharding, "op8_mixing": op8_mixing}
+    return {
+        "op4_decontamination": op4_decontamination,
+        "op7_sharding": op7_sharding,
+        "op8_mixing": op8_mixing,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -58,15 +58,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _piece(data: np.ndarray, lower: bool, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, starts and ends of the words of a piece, whose words are whole."""
+def _piece(data: np.ndarray, lower: bool, apart: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a piece, whose words are whole. first: only so many bytes of a word count, if over 0."""
     inside = ~apart[data]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     start, end = edge[::2], edge[1::2]
+    if first:
+        end = np.minimum(end, start + first)
     up, down = _BYTES.get(len(data) + 1)
     total = np.zeros(len(data) + 1, U)
     np.cumsum((_LOWER if lower else _BYTE)[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F)), start, end
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xA0761D6478BD642F)), start
 
 
 def _pieces(data: np.ndarray, breaks: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -103,10 +105,11 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def hashed(column: pa.Array, lower: bool = False, marks: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def hashed(column: pa.Array, lower: bool = False, marks: bool = False, stem: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first text's number, word hashes, bounds of the texts among them), for groups of whole texts of about a piece.
 
-    lower: A-Z count as a-z. marks: words are runs of ASCII letters and digits and of all that is not ASCII.
+    lower: A-Z count as a-z. marks: words are runs of ASCII letters and digits and of all that is not ASCII. stem: only so
+    many first bytes of a word count, if over 0.
     """
     data, at = texts_of(column)
     apart = _MARKS if marks else _SPACE
@@ -117,7 +120,7 @@ def hashed(column: pa.Array, lower: bool = False, marks: bool = False) -> Iterat
         part, ends = data[at[first] : at[last]], at[first : last + 1] - at[first]
         hashes, begun = [], []
         for a, b in _pieces(part, ends):
-            h, s, _ = _split(part[a:b], ends[(ends > a) & (ends < b)] - a, lower, apart)
+            h, s = _split(part[a:b], ends[(ends > a) & (ends < b)] - a, lower, apart, stem)
             hashes.append(h)
             begun.append(s + a)
         h = np.concatenate(hashes) if hashes else np.zeros(0, U)
@@ -126,13 +129,12 @@ def hashed(column: pa.Array, lower: bool = False, marks: bool = False) -> Iterat
         first = last
 
 
-def _split(data: np.ndarray, inner: np.ndarray, lower: bool, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _split(data: np.ndarray, inner: np.ndarray, lower: bool, apart: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray]:
     """Like _piece, where a word also ends at the end of a text."""
     if not len(inner) or not np.any(touching := ~apart[data[inner - 1]] & ~apart[data[inner]]):
-        return _piece(data, lower, apart)
-    h, s, e = _piece(np.insert(data, inner[touching], 32), lower, apart)
-    moved = np.searchsorted(inner[touching] + np.arange(int(touching.sum())), s, "left")
-    return h, s - moved, e - moved
+        return _piece(data, lower, apart, stem)
+    h, s = _piece(np.insert(data, inner[touching], 32), lower, apart, stem)
+    return h, s - np.searchsorted(inner[touching] + np.arange(int(touching.sum())), s, "left")
 
 
 def prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
