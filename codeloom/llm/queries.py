@@ -7,15 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, sharding, toxicity
+from . import decontaminate, license_scan, mixing, near_dedup, sharding, substring_dedup, token_records, topk, toxicity, url_filter
 from .shared import docs_table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicate(docs_table(spark, sf_dir), texts=False)
+
+
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = docs_table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    records = token_records.export(docs_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return records.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item that it holds: doc_id, item_id, start, similarity."""
     return decontaminate.leaks(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(docs_table(spark, sf_dir, "pages"))
+
+
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(docs_table(spark, sf_dir))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs_table(spark, sf_dir).select("doc_id"), shards=64, slots=16381)
 
@@ -24,6 +48,11 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs_table(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and license notice that it holds: doc_id, license, start, containment."""
+    return license_scan.scan(docs_table(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs_table(spark, sf_dir)
     scored = toxicity.score(docs, toxicity.fit(docs, docs_table(spark, sf_dir, "labels")))
@@ -33,9 +62,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
+        "op2_topk": op2_topk,
+        "op3_token_records": op3_token_records,
         "op4_decontamination": op4_decontamination,
+        "op5_url_filter": op5_url_filter,
+        "op6_near_dedup": op6_near_dedup,
         "op7_sharding": op7_sharding,
         "op8_mixing": op8_mixing,
+        "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
     }
 

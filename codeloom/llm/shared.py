@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import attach
+
 #: ASCII white space, as a regular expression of both Java and Python.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +42,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def n_words(text: str = "text"):

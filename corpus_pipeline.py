@@ -8,8 +8,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codeloom.llm import mixing, sharding
+from codeloom.llm import decontaminate, mixing, near_dedup, sharding, toxicity
 from codeloom.llm.shared import docs_table, written
+from codeloom.session import attach
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is below the threshold of their language."""
+    model = toxicity.fit(docs, docs_table(attach(spark), sf_dir, "labels"))
+    return toxicity.accepted(docs, model)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least doc_id, of each group of near copies."""
+    attach(spark)
+    return near_dedup.kept_rows(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.clean(docs, docs_table(attach(spark), sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +40,13 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shard(docs, shards=64, slots=16381)
 
 
-STAGES = [("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 #: The classifier and the random rounding have no form in SQL.
 ORACLE_SQL = None
