@@ -16,9 +16,16 @@ def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSe
     return attach(builder.getOrCreate())
 
 
+#: Rows that go to Python at once. Texts are long: at Spark's own default, two copies of a batch outside the heap cost an
+#: executor hundreds of MB a task.
+ARROW_ROWS = 1000
+
+
 def attach(spark: SparkSession) -> SparkSession:
-    """Sends the package to the executors of spark, once a context, as they need not have it installed."""
+    """Sends the package to the executors of spark, once a context, as they need not have it installed; bounds Arrow batches."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     if getattr(context, "_codeloom_attached", False):
         return spark
     root = os.path.dirname(os.path.abspath(__file__))
