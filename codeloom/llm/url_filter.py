@@ -11,12 +11,17 @@ The tree is built from counts of distinct shapes a host, so hot hosts cost a par
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from .shared import written
 
 #: (verdict, host and path): a rule fits its host and all subdomains where the path starts with its path; the longest wins.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 MANY, SHARE, LIKE, SMOOTH, PURITY = 16, 20, 0.5, 10.0, 0.8
 
+#: Steps that are written, so that the plans of later ones stay small; their rows are distinct shapes, not urls.
+KEPT = ("shape", "level1", "level2", "level3", "merged")
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,44 +38,52 @@ def _rule_case(rules: tuple, value: int) -> str:
     return f"CASE {' '.join(whens)} ELSE NULL END"
 
 
-def sql(table: str, rules: tuple = RULES, duck: bool = False) -> str:
-    """The statement; duck: in DuckDB's dialect, for checks. Rules must not hold % or _."""
+def steps(rules: tuple = RULES, duck: bool = False) -> list[tuple[str, str]]:
+    """(name, SELECT) of each step, in which earlier steps stand in braces; duck: in DuckDB's dialect, for checks."""
     if any(set("%_\\'") & set(r[1]) for r in rules):
         raise ValueError("a rule holds %, _, a quote or a backslash")
     every = ", 'g'" if duck else ""
     label = _rule_case(rules, 0)
-    return f"""
-WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {table}),
-page AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
-judged AS (SELECT page_id, host, path, {_rule_case(rules, 1)} AS rule, {label} AS label, regexp_replace(path, '[0-9]+', '#'{every}) AS shape FROM page),
-shape AS (SELECT host, shape, count(*) AS n, count(label) AS known, sum(CASE WHEN label = 'block' THEN 1 ELSE 0 END) AS bad FROM judged GROUP BY host, shape),
-level AS (SELECT host, shape, n, known, bad, regexp_extract(shape, '^/([^/]*)', 1) AS s1, regexp_extract(shape, '^/[^/]*/([^/]*)', 1) AS s2, regexp_extract(shape, '(?s)^/[^/]*/[^/]*(/.*)$', 1) AS s3 FROM shape),
-child1 AS (SELECT host, s1, sum(n) AS n FROM level GROUP BY host, s1),
-all1 AS (SELECT host, count(*) AS c, sum(n) AS n FROM child1 GROUP BY host),
-node1 AS (SELECT a.host, a.s1, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s1 END AS t1 FROM child1 a JOIN all1 b ON a.host = b.host),
-level1 AS (SELECT l.*, t1 FROM level l JOIN node1 o ON l.host = o.host AND l.s1 = o.s1),
-child2 AS (SELECT host, t1, s2, sum(n) AS n FROM level1 GROUP BY host, t1, s2),
-all2 AS (SELECT host, t1, count(*) AS c, sum(n) AS n FROM child2 GROUP BY host, t1),
-node2 AS (SELECT a.host, a.t1, a.s2, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s2 END AS t2 FROM child2 a JOIN all2 b ON a.host = b.host AND a.t1 = b.t1),
-level2 AS (SELECT l.*, t2 FROM level1 l JOIN node2 o ON l.host = o.host AND l.t1 = o.t1 AND l.s2 = o.s2),
-child3 AS (SELECT host, t1, t2, s3, sum(n) AS n FROM level2 GROUP BY host, t1, t2, s3),
-all3 AS (SELECT host, t1, t2, count(*) AS c, sum(n) AS n FROM child3 GROUP BY host, t1, t2),
-node3 AS (SELECT a.host, a.t1, a.t2, a.s3, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s3 END AS t3 FROM child3 a JOIN all3 b ON a.host = b.host AND a.t1 = b.t1 AND a.t2 = b.t2),
-level3 AS (SELECT l.host, l.shape, l.n, l.known, l.bad, l.t1, concat(l.t2, o.t3) AS tail FROM level2 l JOIN node3 o ON l.host = o.host AND l.t1 = o.t1 AND l.t2 = o.t2 AND l.s3 = o.s3),
-branch AS (SELECT host, t1, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM level3 GROUP BY host, t1),
-whole AS (SELECT host, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM branch GROUP BY host),
-tail AS (SELECT host, tail, sum(n) AS n FROM level3 GROUP BY host, tail),
-leaf AS (SELECT host, t1, tail, sum(n) AS n FROM level3 GROUP BY host, t1, tail),
-overlap AS (SELECT f.host, f.t1, sum(least(f.n * 1.0e0 / b.n, t.n * 1.0e0 / w.n)) AS common FROM leaf f JOIN branch b ON f.host = b.host AND f.t1 = b.t1 JOIN tail t ON f.host = t.host AND f.tail = t.tail JOIN whole w ON f.host = w.host GROUP BY f.host, f.t1),
-merged AS (SELECT b.host, b.t1, CASE WHEN o.common >= {LIKE}
+    return [
+        ("cut", f"""SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {{pages}}"""),
+        ("page", f"""SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM {{cut}}"""),
+        ("judged", f"""SELECT page_id, host, path, {_rule_case(rules, 1)} AS rule, {label} AS label, regexp_replace(path, '[0-9]+', '#'{every}) AS shape FROM {{page}}"""),
+        ("shape", f"""SELECT host, shape, count(*) AS n, count(label) AS known, sum(CASE WHEN label = 'block' THEN 1 ELSE 0 END) AS bad FROM {{judged}} GROUP BY host, shape"""),
+        ("level", f"""SELECT host, shape, n, known, bad, regexp_extract(shape, '^/([^/]*)', 1) AS s1, regexp_extract(shape, '^/[^/]*/([^/]*)', 1) AS s2, regexp_extract(shape, '(?s)^/[^/]*/[^/]*(/.*)$', 1) AS s3 FROM {{shape}}"""),
+        ("child1", f"""SELECT host, s1, sum(n) AS n FROM {{level}} GROUP BY host, s1"""),
+        ("all1", f"""SELECT host, count(*) AS c, sum(n) AS n FROM {{child1}} GROUP BY host"""),
+        ("node1", f"""SELECT a.host, a.s1, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s1 END AS t1 FROM {{child1}} a JOIN {{all1}} b ON a.host = b.host"""),
+        ("level1", f"""SELECT l.*, t1 FROM {{level}} l JOIN {{node1}} o ON l.host = o.host AND l.s1 = o.s1"""),
+        ("child2", f"""SELECT host, t1, s2, sum(n) AS n FROM {{level1}} GROUP BY host, t1, s2"""),
+        ("all2", f"""SELECT host, t1, count(*) AS c, sum(n) AS n FROM {{child2}} GROUP BY host, t1"""),
+        ("node2", f"""SELECT a.host, a.t1, a.s2, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s2 END AS t2 FROM {{child2}} a JOIN {{all2}} b ON a.host = b.host AND a.t1 = b.t1"""),
+        ("level2", f"""SELECT l.*, t2 FROM {{level1}} l JOIN {{node2}} o ON l.host = o.host AND l.t1 = o.t1 AND l.s2 = o.s2"""),
+        ("child3", f"""SELECT host, t1, t2, s3, sum(n) AS n FROM {{level2}} GROUP BY host, t1, t2, s3"""),
+        ("all3", f"""SELECT host, t1, t2, count(*) AS c, sum(n) AS n FROM {{child3}} GROUP BY host, t1, t2"""),
+        ("node3", f"""SELECT a.host, a.t1, a.t2, a.s3, CASE WHEN b.c > {MANY} AND a.n * {SHARE} < b.n THEN '*' ELSE a.s3 END AS t3 FROM {{child3}} a JOIN {{all3}} b ON a.host = b.host AND a.t1 = b.t1 AND a.t2 = b.t2"""),
+        ("level3", f"""SELECT l.host, l.shape, l.n, l.known, l.bad, l.t1, concat(l.t2, o.t3) AS tail FROM {{level2}} l JOIN {{node3}} o ON l.host = o.host AND l.t1 = o.t1 AND l.t2 = o.t2 AND l.s3 = o.s3"""),
+        ("branch", f"""SELECT host, t1, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM {{level3}} GROUP BY host, t1"""),
+        ("whole", f"""SELECT host, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM {{branch}} GROUP BY host"""),
+        ("tail", f"""SELECT host, tail, sum(n) AS n FROM {{level3}} GROUP BY host, tail"""),
+        ("leaf", f"""SELECT host, t1, tail, sum(n) AS n FROM {{level3}} GROUP BY host, t1, tail"""),
+        ("overlap", f"""SELECT f.host, f.t1, sum(least(f.n * 1.0e0 / b.n, t.n * 1.0e0 / w.n)) AS common FROM {{leaf}} f JOIN {{branch}} b ON f.host = b.host AND f.t1 = b.t1 JOIN {{tail}} t ON f.host = t.host AND f.tail = t.tail JOIN {{whole}} w ON f.host = w.host GROUP BY f.host, f.t1"""),
+        ("merged", f"""SELECT b.host, b.t1, CASE WHEN o.common >= {LIKE}
   AND abs(b.bad * w.known - w.bad * b.known) <= 2 * sqrt(b.known * 1.0e0 * w.bad * (w.known - w.bad)) THEN '~' ELSE b.t1 END AS m1
-  FROM branch b JOIN whole w ON b.host = w.host JOIN overlap o ON b.host = o.host AND b.t1 = o.t1),
-placed AS (SELECT l.host, l.shape, l.n, l.known, l.bad, m.m1, l.tail FROM level3 l JOIN merged m ON l.host = m.host AND l.t1 = m.t1),
-base AS (SELECT coalesce(sum(bad) * 1.0e0 / nullif(sum(known), 0), 0.0e0) AS rate FROM whole),
-template AS (SELECT host, m1, tail, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM placed GROUP BY host, m1, tail),
-verdict AS (SELECT p.host, p.shape, CASE WHEN t.bad + (t.n - t.known + {SMOOTH}e0) * (SELECT rate FROM base) >= {PURITY}e0 * (t.n + {SMOOTH}e0) THEN 'block' ELSE 'allow' END AS verdict
-  FROM placed p JOIN template t ON p.host = t.host AND p.m1 = t.m1 AND p.tail = t.tail)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, v.verdict) AS verdict FROM judged j JOIN verdict v ON j.host = v.host AND j.shape = v.shape"""
+  FROM {{branch}} b JOIN {{whole}} w ON b.host = w.host JOIN {{overlap}} o ON b.host = o.host AND b.t1 = o.t1"""),
+        ("placed", f"""SELECT l.host, l.shape, l.n, l.known, l.bad, m.m1, l.tail FROM {{level3}} l JOIN {{merged}} m ON l.host = m.host AND l.t1 = m.t1"""),
+        ("base", f"""SELECT coalesce(sum(bad) * 1.0e0 / nullif(sum(known), 0), 0.0e0) AS rate FROM {{whole}}"""),
+        ("template", f"""SELECT host, m1, tail, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM {{placed}} GROUP BY host, m1, tail"""),
+        ("verdict", f"""SELECT p.host, p.shape, CASE WHEN t.bad + (t.n - t.known + {SMOOTH}e0) * (SELECT rate FROM {{base}}) >= {PURITY}e0 * (t.n + {SMOOTH}e0) THEN 'block' ELSE 'allow' END AS verdict
+  FROM {{placed}} p JOIN {{template}} t ON p.host = t.host AND p.m1 = t.m1 AND p.tail = t.tail"""),
+        ("result", """SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, v.verdict) AS verdict FROM {judged} j JOIN {verdict} v ON j.host = v.host AND j.shape = v.shape"""),
+    ]
+
+
+def sql(rules: tuple = RULES) -> str:
+    """All steps as one statement for DuckDB."""
+    every = steps(rules, duck=True)
+    names = {n: n for n, _ in every} | {"pages": "pages"}
+    return "WITH " + ",\n".join(f"{n} AS ({text.format(**names)})" for n, text in every[:-1]) + "\n" + every[-1][1].format(**names)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
@@ -79,6 +92,8 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     A null url, or one without ://, has an empty host and path, no rule, and its template's verdict. Repeated rows are judged
     alike, each; they count as often. An empty table gives no rows. Other columns don't matter.
     """
-    spark: SparkSession = pages.sparkSession
-    pages.select("page_id", "url").createOrReplaceTempView("url_filter_pages")
-    return spark.sql(sql("url_filter_pages", rules))
+    known = {"pages": pages.select("page_id", "url")}
+    for name, text in steps(rules):
+        df = pages.sparkSession.sql(text, **{n: d for n, d in known.items() if "{" + n + "}" in text})
+        known[name] = written(df, f"url-filter-{name}") if name in KEPT else df
+    return known["result"]
