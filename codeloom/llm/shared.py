@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from ..session import attach
 #: ASCII white space, as a regular expression of both Java and Python.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+FILES_A_CORE = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,10 +35,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: the lineage ends there, and lost executors cost no recomputation."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read again: the lineage ends there, and lost executors cost no recomputation.
+
+    Tables have FILES_A_CORE files for each core of the cluster at most, since each file costs its writer buffers.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -45,6 +53,44 @@ def docs_table(spark: SparkSession, sf_dir: str, name: str = "documents") -> Dat
     return attach(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run for runs of whole groups of rows with equal keys, which come sorted; a run holds a batch's rows, about.
+
+    Groups must be of bounded size. Many small groups cost one call.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            last = [batch.column(k)[batch.num_rows - 1] for k in keys]
+            cut = batch.num_rows
+            while cut and all(batch.column(k)[cut - 1] == v for k, v in zip(keys, last, strict=True)):
+                cut -= 1
+            if not cut and held and all(held[-1].column(k)[held[-1].num_rows - 1] == v for k, v in zip(keys, last, strict=True)):
+                held.append(batch)  # the group goes on
+                continue
+            whole = [*held, batch.slice(0, cut)]
+            if sum(b.num_rows for b in whole):
+                yield from run(pa.concat_batches(whole))
+            held = [batch.slice(cut)]
+        if held:
+            yield from run(pa.concat_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)
+
+
+def bounds(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where groups begin in a batch sorted by keys of integers, and its length."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = batch.column(k).to_numpy(zero_copy_only=False)
+        new[1:] |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(new), batch.num_rows)
+
+
 def n_words(text: str = "text"):
     """Number of words between ASCII white space in a text column, natively; 0 for null."""
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")
