@@ -2,19 +2,18 @@
 
 A window is WINDOW consecutive words of one document. Of the GRAM-word sequences in a window, the one with the least hash
 (the first of equals) is its anchor; it depends on the window's words alone, so equal windows have equal anchors at equal
-places. Neighbouring windows mostly share an anchor: such a run is one fingerprint, about one for eleven words, and no window
+places. Neighbouring windows mostly share an anchor: such a run is one fingerprint, about one for fourteen words, and no window
 is without. A fingerprint has two independent hashes, of the anchor's words (fp) and of all words that the run's windows cover
 (area).
 
-The index keeps sorted, immutable runs: tables bucketed and sorted by fp, with how often each fp was seen and the least and
-greatest area seen with it. A new batch becomes a run; it is merge-joined with the history (both sides are sorted alike, so
-nothing is shuffled), and the merged run replaces both: compaction. A lookup against the compacted index verifies in steps:
+The index keeps sorted, immutable runs: tables bucketed and sorted by fp, with how often each fp was seen. A new batch becomes
+a run; it is merge-joined with the history (both sides are sorted alike, so nothing is shuffled), and the merged run replaces
+both: compaction. A lookup against the compacted index verifies in steps:
 
-1. An fp seen once has no twin. One seen more often, always with the same area, has twins for all its windows: both hashes
-   agree, 128 bits.
-2. An fp with different areas is mixed. Its fingerprints are compared by area; those that share one have twins.
-3. Only what remains is compared window by window, by two hashes of the whole window, together with one representative of
-   each shared area of the same fp. So large groups of copies count once here.
+1. A fingerprint whose fp was seen once has no twin.
+2. Of the others, those that share both hashes (128 bits) have twins for all their windows.
+3. Only where an fp has different areas, fingerprints without a twin are compared window by window, by two hashes of the whole
+   window, together with one representative of each shared area of the same fp. So large groups of copies count once here.
 
 Hot fingerprints are only counted (with partial sums before the shuffle) and joined; no group of them is gathered in a task.
 """
@@ -30,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import fresh_path, shuffle_partitions
+from .shared import fresh_path, shuffle_partitions, written
 
-WINDOW, GRAM = 35, 16
+WINDOW, GRAM = 35, 8
 #: Texts are cut into parts of so many words that overlap by WINDOW - 1; a place within one fits into the key below.
 PART = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -108,7 +107,7 @@ class FingerprintIndex:
 
     def append(self, batch: DataFrame) -> None:
         """Adds a batch of documents (doc_id, text) as a new sorted run."""
-        seen = fingerprints(batch).groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("area").alias("least"), F.max("area").alias("most"))
+        seen = fingerprints(batch).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
         self.runs.append(self._write(seen))
 
     def compact(self) -> None:
@@ -116,12 +115,7 @@ class FingerprintIndex:
         while len(self.runs) > 1:
             a, b = self.runs[:2]
             x, y = self.spark.table(a).alias("x"), self.spark.table(b).hint("merge").alias("y")
-            both = x.join(y, F.col("x.fp") == F.col("y.fp"), "full").select(
-                F.coalesce("x.fp", "y.fp").alias("fp"),
-                (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"),
-                F.least("x.least", "y.least").alias("least"),  # least and greatest skip nulls
-                F.greatest("x.most", "y.most").alias("most"),
-            )
+            both = x.join(y, F.col("x.fp") == F.col("y.fp"), "full").select(F.coalesce("x.fp", "y.fp").alias("fp"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"))
             merged = self._write(both)
             for old in (a, b):
                 self._drop(old)
@@ -134,10 +128,10 @@ class FingerprintIndex:
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
     def repeated(self) -> DataFrame:
-        """fp and mixed (has it different areas?) of all fingerprints seen more than once, from the compacted run."""
+        """fp of all fingerprints seen more than once, from the compacted run."""
         self.compact()
         run = self.spark.read.parquet(f"{self.path}/{self.runs[0]}")
-        return run.filter("n > 1").select("fp", (F.col("least") != F.col("most")).alias("mixed"))
+        return run.filter("n > 1").select("fp")
 
 
 def _window_hashes(docs: DataFrame) -> DataFrame:
@@ -170,18 +164,17 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
 
     docs must have been appended to the index, each row once, with different doc_ids.
     """
-    known = index.repeated()
-    hits = fingerprints(docs).join(known, "fp")
-    sure = hits.filter("NOT mixed").select("doc_id", "lo", "hi")
-    mixed = hits.filter("mixed").withColumn("place", F.xxhash64("doc_id", "lo"))
-    areas = mixed.groupBy("fp", "area").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    judged = mixed.join(areas, ["fp", "area"])
+    hits = written(fingerprints(docs).join(index.repeated(), "fp"), "fingerprint-hits")
+    place = F.xxhash64("doc_id", "lo")
+    areas = hits.groupBy("fp", "area").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+    mixed = areas.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("mixed"))
+    judged = hits.join(areas.join(mixed, "fp"), ["fp", "area"])
     shared = judged.filter("n > 1").select("doc_id", "lo", "hi")
-    open_ = judged.filter("n = 1 OR place = first").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    open_ = judged.filter(F.col("mixed") & ((F.col("n") == 1) | (place == F.col("first")))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     windows = _window_hashes(docs.select("doc_id", "text").join(open_, "doc_id"))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = windows.join(twice, ["w1", "w2"]).select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return sure.unionByName(shared).unionByName(single)
+    return shared.unionByName(single)
 
 
 def removed(docs: DataFrame, spans: DataFrame, texts: bool = True) -> DataFrame:
