@@ -15,21 +15,24 @@ that Spark reaches, and a retried task leaves no halves.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import words
 from .shared import fresh_path, shuffle_partitions
 
 #: Text that goes into one file, about; a reader holds a file.
 FILE_BYTES = 32 << 20
-#: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Words whose ids a worker remembers, some 40 bytes each.
+REMEMBERED = 1_500_000
 
 _HEAD = struct.Struct("<QI")
 _LEAD = struct.Struct("<Bq")
@@ -75,45 +78,101 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Texts to ids. For vocabularies whose words never cross ASCII white space, which they drop: words are encoded once."""
+    """Texts to ids. For vocabularies whose words never cross ASCII white space, which they drop: words are encoded once.
 
-    class _Numbers(dict):
-        def __init__(self) -> None:
-            self.new: list[bytes] = []
-
-        def __missing__(self, word: bytes) -> int:
-            self[word] = n = len(self)
-            self.new.append(word)
-            return n
+    A word is known by 64 bits of hash and its length, in an open table of 16-bit or wider ids; the table starts anew when it
+    is full.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.mask = np.uint64((1 << (4 * REMEMBERED // 3 - 1).bit_length()) - 1)
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers, self.flat, self.start = self._Numbers(), np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
-        if len(self.numbers) > REMEMBERED:
-            self._clear()
-        number = self.numbers.__getitem__
-        found = [np.fromiter(map(number, own), np.int64, len(own)) for own in (t.encode().split() for t in texts)]
-        if self.numbers.new:
-            got = [e.ids for k in range(0, len(self.numbers.new), 50_000) for e in self.library.encode_batch_fast([w.decode() for w in self.numbers.new[k : k + 50_000]], add_special_tokens=False)]
+        size = int(self.mask) + 1
+        self.keys, self.number = np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+        self.start, self.width, self.known = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words with these hashes; -1 for new ones."""
+        slot = (h & self.mask).astype(np.int64)
+        out = self.number[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & int(self.mask)
+            out[todo] = self.number[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != h[todo])]
+        return out
+
+    def _add(self, h: np.ndarray, texts: list[str], width: np.ndarray) -> None:
+        """Encodes new words, all different."""
+        for k in range(0, len(h), 20_000):
+            got = [e.ids for e in self.library.encode_batch_fast(texts[k : k + 20_000], add_special_tokens=False)]
             sizes = np.fromiter(map(len, got), np.int64, len(got))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(sizes.sum()))])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.numbers.new = []
+            total = int(sizes.sum())
+            if self.used + total > len(self.flat):
+                self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used, total), np.uint32)])
+            self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(got), np.uint32, total)
+            self.start = np.concatenate([self.start, self.used + np.cumsum(sizes)])
+            self.used += total
+        self.width = np.concatenate([self.width, width.astype(np.int32)])
+        todo, slot = np.arange(len(h)), (h & self.mask).astype(np.int64)
+        while len(todo):  # of those that want one free slot, the first takes it; the others go on
+            free = todo[self.number[slot[todo]] < 0]
+            _, one = np.unique(slot[free], return_index=True)
+            taken = free[one]
+            self.number[slot[taken]] = self.known + taken
+            self.keys[slot[taken]] = h[taken]
+            todo = np.setdiff1d(todo, taken, assume_unique=True)
+            busy = todo[self.keys[slot[todo]] != h[todo]]
+            slot[busy] = (slot[busy] + 1) & int(self.mask)
+        self.known += len(h)
+
+    def encode(self, column: pa.Array, end: int | None) -> Iterator[np.ndarray]:
+        """The ids of each text in turn."""
         tail = np.array([] if end is None else [end], np.uint32)
-        out = []
-        for n in found:
+        held: list[np.ndarray] = []
+        now = 0
+        for first, h, begin, stop, at, data in words.located(column):
+            while now < first:  # the text before is complete
+                yield np.concatenate([*held, tail])
+                held, now = [], now + 1
+            n = self._find(h)
+            new = np.flatnonzero(n < 0)
+            if len(new):
+                if self.known + len(new) > REMEMBERED:
+                    self._clear()
+                    new = np.arange(len(h))
+                hashes, one = np.unique(h[new], return_index=True)
+                one = new[one]
+                raw = data.tobytes()
+                self._add(hashes, [raw[a:b].decode() for a, b in zip(begin[one].tolist(), stop[one].tolist(), strict=True)], stop[one] - begin[one])
+                n = self._find(h)
+            if np.any(self.width[n] != stop - begin):
+                raise ValueError("two words share a hash")
             size = self.start[n + 1] - self.start[n]
-            total = int(size.sum())
-            at = np.arange(total) + np.repeat(self.start[n] - (np.cumsum(size) - size), size)
-            out.append(np.concatenate([self.flat[at], tail]))
-        return out
+            ends = np.cumsum(size)
+            ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[n] - (ends - size), size)]
+            cut = np.append(0, ends)[at]
+            for k in range(len(at) - 1):
+                held.append(ids[cut[k] : cut[k + 1]])
+                if k < len(at) - 2:
+                    yield np.concatenate([*held, tail])
+                    held, now = [], now + 1
+        if len(column):
+            yield np.concatenate([*held, tail])
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a file. Tasks reach it by the module's name, so that it outlives them."""
+    if path not in _ENCODERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = 1) -> None:
@@ -130,12 +189,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = 1) -> No
     rows = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = Encoder(tokenizer)
+        own = encoder(tokenizer)
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                ids = _ENCODERS[tokenizer].encode(part.column("text").to_pylist(), end)
+                ids = own.encode(part.column("text"), end)
                 yield pa.RecordBatch.from_arrays([pa.array([frame(pack(d, i)) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)], pa.binary())], ["value"])
 
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")

@@ -129,6 +129,30 @@ def hashed(column: pa.Array, lower: bool = False, marks: bool = False, stem: int
         first = last
 
 
+def located(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Like hashed(), in parts of a piece at most: (text's number, hashes, first bytes, ends, bounds of the texts, bytes).
+
+    A text longer than a piece comes in several parts, one after another.
+    """
+    data, at = texts_of(column)
+    n, first = len(at) - 1, 0
+    while first < n:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + _PIECE, "right")) - 1)
+        part, ends = data[at[first] : at[last]], at[first : last + 1] - at[first]
+        for a, b in _pieces(part, ends) if len(part) else ((0, 0),):
+            inner = ends[(ends > a) & (ends < b)] - a
+            own = part[a:b]
+            gaps = np.zeros(0, np.int64)
+            if len(inner):
+                gaps = inner[~_SPACE[own[inner - 1]] & ~_SPACE[own[inner]]]
+                own = np.insert(own, gaps, 32)
+            h, s = _piece(own, False, _SPACE)
+            stop = np.flatnonzero(np.diff(~_SPACE[own], prepend=False, append=False))[1::2]
+            begin = ends[:-1] - a if last - first > 1 else np.zeros(1, np.int64)
+            yield first, h, s, stop, np.append(np.searchsorted(s, begin + np.searchsorted(gaps, begin, "left"), "left"), len(h)), own
+        first = last
+
+
 def _split(data: np.ndarray, inner: np.ndarray, lower: bool, apart: np.ndarray, stem: int) -> tuple[np.ndarray, np.ndarray]:
     """Like _piece, where a word also ends at the end of a text."""
     if not len(inner) or not np.any(touching := ~apart[data[inner - 1]] & ~apart[data[inner]]):
