@@ -13,7 +13,8 @@ empty set, linked with nothing. Documents are linked at a Jaccard similarity of
 
 First each bucket's members meet its least member only. The components of these links join most groups, however large.
 Buckets that still hold different components then compare all their members, in blocks, and confirm pairs of different
-components, so no link between different texts is lost, while pairs within a component are never made.
+components by products of incidence matrices within a task, so no link between different texts is lost; only links that join
+components leave the task, at most as many as it has members.
 """
 
 from __future__ import annotations
@@ -21,20 +22,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import written
+from .shared import bounds, by_group, written
 
 SHINGLE, NUM, DEN = 3, 85, 100
 BANDS, ROWS = 36, 5
 BITS = 512
 #: Members of a bucket that are compared at once in the second step; members that meet one document in a task of the first.
-BLOCK, GROUP = 256, 256
+BLOCK, GROUP = 1024, 256
 
 _SEED = np.random.Generator(np.random.PCG64(77)).integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -152,53 +152,110 @@ def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return x.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The (a, b) of pairs whose full sets are linked.
 
     Pairs that share a are confirmed together, some GROUP at a time: a's text goes to a task once for these.
     """
     parts = F.ceil(F.col("n") / GROUP).cast("int")
     count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts)
-    members = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"), F.lit(False).alias("hub"))
-    hubs = count.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(True).alias("hub"))
-    needed = members.unionByName(hubs)
-    texts = needed.join(docs.select("doc_id", "text"), "doc_id")
+    members = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
+    hubs = count.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
+    needed = members.unionByName(hubs).join(texts, "doc_id").select("a", "part", "doc_id", "text")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, keep, sets, hub = bounds(batch, ["a", "part"]), [], [], None
+        a, own = (batch.column(c).to_numpy() for c in ("a", "doc_id"))
+        every = (s for _, s in sets_of(batch.column("text")))
+        for g in range(len(at) - 1):
+            rows = range(at[g], at[g + 1])
+            sets = [next(every) for _ in rows]
+            hub = next((s for k, s in zip(rows, sets, strict=True) if own[k] == a[k]), None)
+            keep += [k for k, s in zip(rows, sets, strict=True) if hub is not None and own[k] != a[k] and linked(hub, s)]
+        yield batch.select(["a", "doc_id"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return by_group(needed, ["a", "part"], run, f"a {kind}, b {kind}")
+
+
+def joins(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of left with each of right: products of incidence matrices, some columns a time."""
+    flat = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
+    common = seen > 1
+    number = np.cumsum(common) - 1
+    use = common[column]
+    owner, column = owner[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for a in range(0, int(common.sum()), 2048):
+        x, y = np.searchsorted(column, (a, a + 2048))
+        part = np.zeros((len(left) + len(right), 2048), np.float32)
+        part[owner[x:y], column[x:y] - a] = 1
+        out += (part[: len(left)] @ part[len(left) :].T).astype(np.int64)
+    return out
+
+
+def forest(ids: np.ndarray, comps: np.ndarray, p: np.ndarray, q: np.ndarray) -> list[tuple[int, int]]:
+    """Of the links between rows p and q, as few as join the same components."""
+    top: dict = {}
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sets = dict(zip(group["doc_id"], (s for _, s in sets_of(pa.array(group["text"], pa.large_string()))), strict=True))
-        a = group["a"].iloc[0]
-        got = [b for b in sets if b != a and a in sets and linked(sets[a], sets[b])]
-        return pd.DataFrame({"a": [a] * len(got), "b": got}, columns=["a", "b"])
+    def root(c: object) -> object:
+        while c in top:
+            c = top[c]
+        return c
+
+    out = []
+    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+        x, y = root(comps[i]), root(comps[j])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
 
-    return texts.select("a", "part", "doc_id", "text").groupBy("a", "part").applyInPandas(run, pairs.select("a", "b").schema)
 
+def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between different components among the members of a bucket, confirmed on full sets. rows: h, doc_id.
 
-def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket in different components, as far as the odd sketches allow. rows: h, doc_id."""
+    Members of a bucket with several components meet in pairs of blocks. Only pairs that sizes and odd sketches allow are
+    confirmed, and of links as few leave a task as join the same components.
+    """
     placed = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("c"))
     split = placed.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
     split = split.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    inside = placed.join(split, "h").join(classes.select("doc_id", "n_shingles", "sketch"), "doc_id")
-    inside = inside.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    inside = placed.join(split, "h").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A member goes to each pair of blocks that holds its own.
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "c", "n_shingles", "sketch"
-    )
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc_id")
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        left, right = group[group["mine"] == i], group[group["mine"] == j]
-        x, y = (np.frombuffer(b"".join(g["sketch"]), np.uint16).reshape(len(g), -1) for g in (left, right))
-        good = apart(x, y) <= MOST_BITS if len(left) and len(right) else np.zeros((len(left), len(right)), bool)
-        na, nb = left["n_shingles"].to_numpy()[:, None], right["n_shingles"].to_numpy()[None]
-        good &= (NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)) & (left["c"].to_numpy()[:, None] != right["c"].to_numpy()[None])
-        p, q = np.nonzero(good)
-        a, b = left["doc_id"].to_numpy()[p], right["doc_id"].to_numpy()[q]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "c")
+    full = dealt.join(classes.select("doc_id", "sketch").join(texts, "doc_id"), "doc_id")
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at, out = bounds(batch, ["h", "i", "j"]), []
+        ids, comps, mine, low, high = (batch.column(k).to_numpy() for k in ("doc_id", "c", "mine", "i", "j"))
+        bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        texts = batch.column("text")
+        for g in range(len(at) - 1):
+            own = np.arange(at[g], at[g + 1])
+            left, right = own[mine[own] == low[own[0]]], own[mine[own] == high[own[0]]]
+            if not len(left) or not len(right):
+                continue
+            near = (apart(bits[left], bits[right]) <= MOST_BITS) & (comps[left][:, None] != comps[right][None])
+            left, right = left[near.any(axis=1)], right[near.any(axis=0)]
+            if not len(left):
+                continue
+            some = np.union1d(left, right)
+            sets = dict(zip(some.tolist(), (s for _, s in sets_of(texts.take(pa.array(some)))), strict=True))
+            a, b = [sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()]
+            na, nb = (np.array([len(s) for s in x]) for x in (a, b))
+            both = joins(a, b)
+            good = (DEN * both >= NUM * (na[:, None] + nb[None] - both)) & (comps[left][:, None] != comps[right][None])
+            p, q = np.nonzero(good)
+            out += forest(ids, comps, left[p], right[q])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field("doc_id").type) for k in (0, 1)], ["a", "b"])
 
     kind = classes.schema["doc_id"].dataType.simpleString()
-    return dealt.groupBy("h", "i", "j").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    return by_group(full.select("h", "i", "j", "mine", "doc_id", "c", "sketch", "text"), ["h", "i", "j"], run, f"a {kind}, b {kind}").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -216,14 +273,14 @@ def link(docs: DataFrame) -> DataFrame:
     rows = classes.select(F.explode("bands").alias("h"), "doc_id")
     buckets = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("h", "a")
     rows = written(rows.join(buckets, "h"), "minhash-buckets")
-    texts = docs.select("doc_id", "text")
+    # Only documents that share a bucket are read from here on.
+    texts = written(docs.select("doc_id", "text").join(rows.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
     pairs = written(_near(rows.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), classes), "minhash-pairs")
     edges = written(_confirmed(pairs, texts), "minhash-links")
     comp = components(edges)
-    more = written(_across(rows, classes, comp).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
+    more = written(_across(rows, classes, comp, texts), "minhash-links")
     if not more.isEmpty():
-        edges = edges.unionByName(written(_confirmed(more, texts), "minhash-links"))
-        comp = components(edges)
+        comp = components(edges.unionByName(more))
     member = sig.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
     out = member.join(comp, member["class_id"] == comp["node"], "left")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
