@@ -130,7 +130,7 @@ class FingerprintIndex:
     def repeated(self) -> DataFrame:
         """fp of all fingerprints seen more than once, from the compacted run."""
         self.compact()
-        run = self.spark.read.parquet(f"{self.path}/{self.runs[0]}")
+        run = self.spark.read.schema("fp long, n long").parquet(f"{self.path}/{self.runs[0]}")
         return run.filter("n > 1").select("fp")
 
 
@@ -160,9 +160,11 @@ def _window_hashes(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """doc_id, lo, hi: runs of windows of docs that have a twin in what the index has seen, docs included.
+    """doc_id, lo, hi: runs of windows of docs that have a twin in docs.
 
-    docs must have been appended to the index, each row once, with different doc_ids.
+    docs must have been appended to the index, each row once, with different doc_ids. The index tells which fingerprints come
+    more than once; twins are verified on texts, so docs are the history and the new batch, of which a caller may keep the
+    batch's rows. Documents without a repeated fingerprint cost a pass over their text and no more.
     """
     hits = written(fingerprints(docs).join(index.repeated(), "fp"), "fingerprint-hits")
     place = F.xxhash64("doc_id", "lo")

@@ -77,6 +77,12 @@ def unpack(payload: bytes) -> tuple[int | None, np.ndarray]:
     return None if flag & 1 else doc_id, np.frombuffer(payload, "<u4" if flag & 2 else "<u2", offset=_LEAD.size).astype("<u4")
 
 
+def record_at(data: bytes, at: int) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of the record at an offset."""
+    length, _ = _HEAD.unpack_from(data, at)
+    return unpack(next(frames(data[at : at + 12 + length + 5]))[1])
+
+
 class Encoder:
     """Texts to ids. For vocabularies whose words never cross ASCII white space, which they drop: words are encoded once.
 
@@ -240,7 +246,7 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for content, offsets in zip(batch.column("content"), batch.column("offsets").to_pylist(), strict=True):
                 data = content.as_py()
-                got = [unpack(next(frames(data[at : at + 12 + _HEAD.unpack_from(data, at)[0] + 5]))[1]) for at in offsets]
+                got = [record_at(data, at) for at in offsets]
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([i.tolist() for _, i in got], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
