@@ -75,8 +75,55 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+_SQL_OP1 = f"""WITH doc AS MATERIALIZED (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+win AS MATERIALIZED (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM doc)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM win WHERE k IN (SELECT k FROM twice)),
+word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM doc),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id)
+SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN kept ON doc.doc_id = kept.doc_id"""
+
+_SQL_OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
+
+_SQL_OP6 = f"""WITH RECURSIVE doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+gram AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM doc WHERE len(ws) > 0)),
+size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM gram a JOIN gram b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+link AS MATERIALIZED (SELECT a, b FROM shared JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * shared.n >= 85 * (x.n + y.n - shared.n)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT DISTINCT a, a AS b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+least AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(l.c, d.doc_id) AS component_id, d.doc_id = coalesce(l.c, d.doc_id) AS kept FROM documents d LEFT JOIN size s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id"""
+
+
+def _sql_op9() -> str:
+    """Each template against every window of the scan's sizes and steps, without bands and anchors."""
+    parts = []
+    for name, text in license_scan.TEMPLATES:
+        words = license_scan._words(text)
+        size, step = license_scan._shape(len(words))
+        want = license_scan._shingles(words)
+        parts.append(f"SELECT '{name}' AS license, {size} AS size, {step} AS step, {want!r} AS wanted")
+    return f"""WITH doc AS MATERIALIZED (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL),
+template AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+gram AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM doc)),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, license, size, step, len(wanted) AS n, p, g FROM gram JOIN (SELECT *, unnest(wanted) AS g FROM template) USING (g)),
+place AS (SELECT DISTINCT doc_id, license, size, step, n, unnest(range(greatest(0, CAST(ceil((p - size + 5) / step) AS BIGINT)), p // step + 1)) * step AS start FROM hit),
+held AS (SELECT x.doc_id, x.license, x.start, count(DISTINCT g)::DOUBLE / x.n AS containment FROM place x JOIN hit h ON h.doc_id = x.doc_id AND h.license = x.license AND h.p >= x.start AND h.p + 5 <= x.start + x.size GROUP BY x.doc_id, x.license, x.start, x.n)
+SELECT doc_id, license, start, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS r FROM held WHERE containment >= {license_scan.CONTAINED}) WHERE r = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     owners = sharding.fill_table([f"shard-{k}" for k in range(64)], 16381).tolist()
     return {
+        "op1_substring_dedup": _SQL_OP1,
+        "op2_topk": _SQL_OP2,
+        "op5_url_filter": url_filter.sql(),
+        "op6_near_dedup": _SQL_OP6,
+        "op9_license_scan": _sql_op9(),
         "op7_sharding": f"""SELECT doc_id, CAST(({owners})[1 + ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % 16381] AS INTEGER) AS shard FROM documents""",
     }
