@@ -13,7 +13,7 @@ from ..plans.runtime import cut
 
 #: Graphs with so many weighted pairs at most are solved in one task, node by node; larger ones in parallel sweeps.
 ONE_TASK_PAIRS = 500_000
-SWEEPS, LEVELS = 12, 10
+SWEEPS, LEVELS = 6, 10
 
 
 def cluster_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -79,14 +79,17 @@ def _solve(pairs: list[tuple[str, str, float]], resolution: float) -> dict[str,
 
 
 def _parallel(pairs: DataFrame, resolution: float) -> DataFrame:
-    """uid, community by synchronous sweeps, for graphs beyond one task: in turn, one half of the nodes moves."""
+    """uid, community by synchronous sweeps, for graphs beyond one task.
+
+    In turn, nodes move to lesser and to greater names only, so that two never change places.
+    """
     level = pairs
     member = weighted_degrees(pairs).select("uid", F.col("uid").alias("community"))
     for _ in range(LEVELS):
         both = cut(level.select("a", "b", "w").unionByName(level.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
         degree = cut(weighted_degrees(level).select(F.col("uid").alias("a"), "degree"))
         total = (degree.agg(F.sum("degree")).first()[0] or 0.0) / 2
-        home, changed = cut(degree.select("a", F.col("a").alias("c"))), False
+        home, changed, still = cut(degree.select("a", F.col("a").alias("c"))), False, 0
         for sweep in range(SWEEPS if total > 0 else 0):
             mass = home.join(degree, "a").groupBy("c").agg(F.sum("degree").alias("mass"))
             links = both.filter("a <> b").join(home.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k"))
@@ -94,14 +97,15 @@ def _parallel(pairs: DataFrame, resolution: float) -> DataFrame:
             rest = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(F.lit(0.0))
             gain = F.lit(resolution) * F.col("k") / total - rest * F.col("degree") / (2 * total * total)
             best = seen.withColumn("gain", gain).filter("gain > 0").groupBy("a").agg(F.max(F.struct("gain", "c")).alias("best"))
-            turn = F.pmod(F.xxhash64("a", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
-            moved = home.join(best, "a", "left").select("a", F.when(turn & F.col("best").isNotNull(), F.col("best.c")).otherwise(F.col("c")).alias("n"), "c")
+            turn = F.col("best.c") < F.col("c") if sweep % 2 == 0 else F.col("best.c") > F.col("c")
+            moved = home.join(best, "a", "left").select("a", F.when(turn, F.col("best.c")).otherwise(F.col("c")).alias("n"), "c")
             moved = cut(moved)
             n = moved.filter("n <> c").count()
             home, changed = moved.select("a", F.col("n").alias("c")), changed or n > 0
-            if not n and sweep % 2:
+            still = 0 if n else still + 1
+            if still == 2:
                 break
-        if not changed:
+        if not changed or home.select("c").distinct().count() == degree.count():
             break
         least = home.groupBy("c").agg(F.min("a").alias("least"))
         home = cut(home.join(least, "c").select("a", F.col("least").alias("c")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +20,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed now and kept in the shared folder, so that a later round doesn't compute earlier ones again."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, computed now and kept in the shared folder, so that a later round doesn't compute earlier ones again.
+
+    A table is read back, as a checkpointed plan keeps its constraints, which multiply from round to round.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    df.coalesce(6 * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
