@@ -89,6 +89,18 @@ _SQL_OP2 = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
 s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10"""
 
+#: Every window that holds a shingle of an item, without fingerprints.
+_SQL_OP4 = f"""WITH doc AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-/:-`{{-\\x7F]+') AS w FROM documents),
+bench AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[^\\x00-/:-`{{-\\x7F]+') AS w FROM benchmark),
+item AS MATERIALIZED (SELECT item_id, w, len(w) AS l, least({decontaminate.SHINGLE}, len(w)) AS s FROM bench WHERE len(w) > 0),
+igram AS MATERIALIZED (SELECT item_id, l, s, l - s + 1 AS n, g, count(*) AS c FROM (SELECT item_id, l, s, array_to_string(w[i:i + s - 1], ' ') AS g FROM (SELECT *, unnest(range(1, l - s + 2)) AS i FROM item)) GROUP BY ALL),
+dgram AS (SELECT doc_id, len(w) AS dl, s, p, array_to_string(w[p + 1:p + s], ' ') AS g FROM (SELECT doc_id, w, s, unnest(range(0, len(w) - s + 1)) AS p FROM doc, (SELECT DISTINCT s FROM item))),
+hit AS (SELECT doc_id, item_id, p, g, c, n, dl, least(l, dl) AS wl, least(l, dl) - s + 1 AS own FROM dgram JOIN igram USING (s, g)),
+win AS (SELECT doc_id, item_id, g, c, n, own, p, unnest(range(greatest(0, p - own + 1), least(p, dl - wl) + 1)) AS start FROM hit),
+part AS (SELECT doc_id, item_id, start, n, own, least(count(*), c) AS m FROM win GROUP BY doc_id, item_id, start, n, own, g, c),
+whole AS (SELECT doc_id, item_id, start, n, own, CAST(sum(m) AS DOUBLE) AS m FROM part GROUP BY ALL)
+SELECT doc_id, item_id, start, similarity FROM (SELECT doc_id, item_id, start, m / (n + own - m) AS similarity, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY m / (n + own - m) DESC, start) AS r FROM whole WHERE m >= {decontaminate.THRESHOLD} * (n + own - m) - 1e-9) WHERE r = 1"""
+
 _SQL_OP6 = f"""WITH RECURSIVE doc AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{url_filter.UPPER}', '{url_filter.LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS ws FROM documents),
 gram AS MATERIALIZED (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 2], ' ') END AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM doc WHERE len(ws) > 0)),
 size AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM gram GROUP BY doc_id),
@@ -122,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": _SQL_OP1,
         "op2_topk": _SQL_OP2,
+        "op4_decontamination": _SQL_OP4,
         "op5_url_filter": url_filter.sql(),
         "op6_near_dedup": _SQL_OP6,
         "op9_license_scan": _sql_op9(),
