@@ -22,7 +22,7 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "downstream", le
         raise ValueError("direction is downstream or upstream")
     here, there = ("from_uid", "to_uid") if direction == "downstream" else ("to_uid", "from_uid")
     good = edges.filter(F.col("type").isin(*REACHING) & (F.col("confidence") >= least))
-    good = good.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("confidence").alias("c"))
+    good = good.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("confidence").alias("c")).persist()
     front = start.select(F.col("uid").alias("start_uid"), F.col("uid").alias("at")).distinct()
     level = good.join(front, "at").select("start_uid", F.col("next").alias("uid"), F.lit(1).alias("depth"), F.col("c").alias("confidence")).distinct()
     levels = []
@@ -34,6 +34,7 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "downstream", le
         if k < depth:
             step = good.join(level.withColumnRenamed("uid", "at"), "at")
             level = step.select("start_uid", F.col("next").alias("uid"), F.lit(k + 1).alias("depth"), (F.col("c") * F.col("confidence")).alias("confidence")).distinct()
+    good.unpersist()
     out = level.limit(0) if not levels else levels[0]
     for other in levels[1:]:
         out = out.unionByName(other)
@@ -71,7 +72,7 @@ def trace(edges: DataFrame, entries: DataFrame, depth: int = 10) -> DataFrame:
 
     A symbol counts once a process, where it is reached first; steps of a level go by their parent's step, then uid.
     """
-    calls = edges.filter("type = 'CALLS'").select(F.col("from_uid").alias("at"), F.col("to_uid").alias("next")).distinct()
+    calls = edges.filter("type = 'CALLS'").select(F.col("from_uid").alias("at"), F.col("to_uid").alias("next")).distinct().persist()
     level = entries.select("uid", "name").dropDuplicates(["uid"]).select(ids.process_id("uid").alias("process_id"), "name", F.col("uid").alias("entry_uid"), F.col("uid").alias("symbol_uid"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("step_index"))
     level = cut(level)
     seen = level
@@ -85,6 +86,7 @@ def trace(edges: DataFrame, entries: DataFrame, depth: int = 10) -> DataFrame:
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    calls.unpersist()
     return seen
 
 
