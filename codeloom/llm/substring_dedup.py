@@ -135,10 +135,13 @@ class FingerprintIndex:
 
 
 def _window_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, w1, w2, at of the windows in spans (array<struct<lo, hi>>) of docs."""
+    """doc_id, w1, w2, at of the windows in spans (array<struct<lo, hi>>, may be null) of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column("spans").is_valid())
+            if not batch.num_rows:
+                continue
             spans = batch.column("spans")
             offsets = spans.offsets.to_numpy()
             los, his = (spans.values.field(k).to_numpy() for k in (0, 1))
@@ -173,7 +176,8 @@ def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
     judged = hits.join(areas.join(mixed, "fp"), ["fp", "area"])
     shared = judged.filter("n > 1").select("doc_id", "lo", "hi")
     open_ = judged.filter(F.col("mixed") & ((F.col("n") == 1) | (place == F.col("first")))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    windows = _window_hashes(docs.select("doc_id", "text").join(open_, "doc_id"))
+    # A left join, as in removed(): so both read one shuffle of the texts.
+    windows = _window_hashes(docs.select("doc_id", "text").join(open_, "doc_id", "left"))
     twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     single = windows.join(twice, ["w1", "w2"]).select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
     return shared.unionByName(single)
