@@ -1,11 +1,12 @@
 """MinHash near-deduplication with odd sketches.
 
-A document's set are the distinct SHINGLE-word shingles of its words (A-Z as a-z); fewer words make one shingle, no words an
-empty set, linked with nothing. Documents are linked at a Jaccard similarity of NUM / DEN or more.
+A document's set are the distinct shingles of its words (A-Z as a-z); fewer words than a shingle has make one, no words an
+empty set, linked with nothing. Documents are linked at a Jaccard similarity of num / den or more. A Likeness holds the
+words of a shingle, the similarity and the bands: NEAR is the query's (three words, 0.85), STAGE the pipeline's (five, 0.8).
 
 1. Documents with equal sets are one class, known by a 128-bit digest of the set; its least doc_id stands for it.
-2. BANDS bands of ROWS MinHash values make candidates. At 0.85 a pair shares no band with a chance of
-   (1 - 0.85**5)**36 = 7e-10.
+2. Bands of ROWS MinHash values make candidates. At 0.85 a pair shares none of 36 bands with a chance of
+   (1 - 0.85**5)**36 = 7e-10, at 0.8 none of 54 with one of (1 - 0.8**5)**54 = 5e-10.
 3. The MinHash samples of a set, folded into a parity bitmap, are its odd sketch. The XOR of two sketches has as many bits as
    the samples differ in, but for collisions; a pair whose count of bits lies beyond all that a linked pair may have (chance
    under 1e-9) is no candidate.
@@ -20,6 +21,8 @@ components leave the task, at most as many as it has members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +39,20 @@ BITS = 512
 #: Members of a bucket that are compared at once in the second step; members that meet one document in a task of the first.
 BLOCK, GROUP = 1024, 256
 
-_SEED = np.random.Generator(np.random.PCG64(77)).integers(1, 2**32, (2, BANDS * ROWS), dtype=np.uint32) | np.uint32(1)
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
-def _most_bits() -> int:
-    """Bits in which the sketches of a linked pair differ but with a chance under 1e-9.
+@cache
+def _seed(n: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(77)).integers(1, 2**32, (2, n), dtype=np.uint32) | np.uint32(1)
+
+
+@cache
+def _most_bits(n: int, p: float) -> int:
+    """Bits in which the sketches of n samples of a linked pair differ but with a chance under 1e-9.
 
     The number of samples that differ is binomial; each differing sample flips two bits at most, whatever collides.
     """
-    n, p = BANDS * ROWS, 1 - NUM / DEN
     log = np.cumsum(np.log(np.arange(1, n + 1)))
     choose = lambda k: log[n - 1] - (log[k - 1] if k else 0) - (log[n - k - 1] if k < n else 0)
     chance = np.array([np.exp(choose(k) + k * np.log(p) + (n - k) * np.log(1 - p)) for k in range(n + 1)])
@@ -53,7 +60,26 @@ def _most_bits() -> int:
     return 2 * int(np.flatnonzero(tail < 1e-9)[0])
 
 
-MOST_BITS = _most_bits()
+@dataclass(frozen=True)
+class Likeness:
+    """What links two documents, and the bands that find such pairs."""
+
+    shingle: int = SHINGLE
+    num: int = NUM
+    den: int = DEN
+    bands: int = BANDS
+
+    @property
+    def samples(self) -> int:
+        return self.bands * ROWS
+
+    @property
+    def most_bits(self) -> int:
+        return _most_bits(self.samples, 1 - self.num / self.den)
+
+
+NEAR, STAGE = Likeness(), Likeness(5, 80, 100, 54)
+MOST_BITS = NEAR.most_bits
 
 
 def estimate(bits: np.ndarray) -> np.ndarray:
@@ -62,38 +88,36 @@ def estimate(bits: np.ndarray) -> np.ndarray:
     return np.clip(1 + BITS / (4 * BANDS * ROWS) * np.log(1 - full), 0, 1)
 
 
-def sets_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def sets_of(column: pa.Array, shingle: int = SHINGLE) -> Iterator[tuple[int, np.ndarray]]:
     """(text's number, its sorted distinct shingles)."""
     for first, h, at in words.hashed(column, lower=True):
-        grams = words.shingles(h, SHINGLE)
+        grams = words.shingles(h, shingle)
         for k in range(len(at) - 1):
             a, b = int(at[k]), int(at[k + 1])
-            if b - a >= SHINGLE:
-                yield first + k, np.unique(grams[a : b - SHINGLE + 1])
+            if b - a >= shingle:
+                yield first + k, np.unique(grams[a : b - shingle + 1])
             elif b > a:
                 yield first + k, words.shingles(h[a:b], b - a) ^ np.uint64(b - a)
             else:
                 yield first + k, h[:0]
 
 
-def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """BANDS * ROWS MinHash values of a set of at least one shingle."""
-    out = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+def min_hashes(shingles: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
+    """n MinHash values of a set of at least one shingle."""
+    out, seed = np.full(n, 2**32 - 1, np.uint32), _seed(n)
     low, high = shingles.astype(np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
     for a in range(0, len(shingles), 512):
-        v = low[a : a + 512] * _SEED[0][:, None]
+        v = low[a : a + 512] * seed[0][:, None]
         v ^= high[a : a + 512]
-        v *= _SEED[1][:, None]
+        v *= seed[1][:, None]
         np.minimum(out, v.min(axis=1), out=out)
     return out
 
 
-_PLACES = np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)
-
-
 def odd_sketch(mins: np.ndarray) -> bytes:
     """Parity bitmap of the samples (place, value)."""
-    bit = (words.mix(mins.astype(np.uint64) + (_PLACES << np.uint64(32))) % np.uint64(BITS)).astype(int)
+    places = np.arange(1, len(mins) + 1, dtype=np.uint64)
+    bit = (words.mix(mins.astype(np.uint64) + (places << np.uint64(32))) % np.uint64(BITS)).astype(int)
     return np.packbits(np.bincount(bit, minlength=BITS) % 2 == 1).tobytes()
 
 
@@ -105,14 +129,14 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    if NUM * max(len(a), len(b)) > DEN * min(len(a), len(b)) or not len(a):
+def linked(a: np.ndarray, b: np.ndarray, like: Likeness = NEAR) -> bool:
+    if like.num * max(len(a), len(b)) > like.den * min(len(a), len(b)) or not len(a):
         return False
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
+    return like.den * both >= like.num * (len(a) + len(b) - both)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """doc_id, n_shingles, digest, bands, sketch of each row of docs; digest and the rest are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,13 +145,13 @@ def signatures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             digest, bands, sketch = [None] * batch.num_rows, [None] * batch.num_rows, [None] * batch.num_rows
-            for k, s in sets_of(batch.column("text")):
+            for k, s in sets_of(batch.column("text"), like.shingle):
                 n[k] = len(s)
                 if len(s):
-                    mins = min_hashes(s)
+                    mins = min_hashes(s, like.samples)
                     folded = words.shingles(mins.astype(np.uint64), ROWS)[::ROWS]
                     digest[k] = xxhash.xxh3_128_digest(s.tobytes())
-                    bands[k] = words.mix(folded + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+                    bands[k] = words.mix(folded + np.arange(like.bands, dtype=np.uint64)).view(np.int64)
                     sketch[k] = odd_sketch(mins)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
 
@@ -135,24 +159,24 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     """The (a, b) of pairs that sizes and odd sketches allow."""
     own = classes.select("doc_id", "n_shingles", "sketch")
     x = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
     x = x.filter("na IS NOT NULL").join(own.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
-    x = x.filter(f"{NUM} * greatest(na, nb) <= {DEN} * least(na, nb)")
+    x = x.filter(f"{like.num} * greatest(na, nb) <= {like.den} * least(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                good = _POP[a ^ b].sum(axis=1) <= MOST_BITS
+                good = _POP[a ^ b].sum(axis=1) <= like.most_bits
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return x.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """The (a, b) of pairs whose full sets are linked.
 
     Pairs that share a are confirmed together, some GROUP at a time: a's text goes to a task once for these.
@@ -166,12 +190,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, keep, sets, hub = bounds(batch, ["a", "part"]), [], [], None
         a, own = (batch.column(c).to_numpy() for c in ("a", "doc_id"))
-        every = (s for _, s in sets_of(batch.column("text")))
+        every = (s for _, s in sets_of(batch.column("text"), like.shingle))
         for g in range(len(at) - 1):
             rows = range(at[g], at[g + 1])
             sets = [next(every) for _ in rows]
             hub = next((s for k, s in zip(rows, sets, strict=True) if own[k] == a[k]), None)
-            keep += [k for k, s in zip(rows, sets, strict=True) if hub is not None and own[k] != a[k] and linked(hub, s)]
+            keep += [k for k, s in zip(rows, sets, strict=True) if hub is not None and own[k] != a[k] and linked(hub, s, like)]
         yield batch.select(["a", "doc_id"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
 
     kind = pairs.schema["a"].dataType.simpleString()
@@ -216,7 +240,7 @@ def forest(ids: np.ndarray, comps: np.ndarray, p: np.ndarray, q: np.ndarray) ->
     return out
 
 
-def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame) -> DataFrame:
+def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     """Links (a, b) between different components among the members of a bucket, confirmed on full sets. rows: h, doc_id.
 
     Members of a bucket with several components meet in pairs of blocks. Only pairs that sizes and odd sketches allow are
@@ -240,16 +264,16 @@ def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFra
             left, right = own[mine[own] == low[own[0]]], own[mine[own] == high[own[0]]]
             if not len(left) or not len(right):
                 continue
-            near = (apart(bits[left], bits[right]) <= MOST_BITS) & (comps[left][:, None] != comps[right][None])
+            near = (apart(bits[left], bits[right]) <= like.most_bits) & (comps[left][:, None] != comps[right][None])
             left, right = left[near.any(axis=1)], right[near.any(axis=0)]
             if not len(left):
                 continue
             some = np.union1d(left, right)
-            sets = dict(zip(some.tolist(), (s for _, s in sets_of(texts.take(pa.array(some)))), strict=True))
+            sets = dict(zip(some.tolist(), (s for _, s in sets_of(texts.take(pa.array(some)), like.shingle)), strict=True))
             a, b = [sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()]
             na, nb = (np.array([len(s) for s in x]) for x in (a, b))
             both = joins(a, b)
-            good = (DEN * both >= NUM * (na[:, None] + nb[None] - both)) & (comps[left][:, None] != comps[right][None])
+            good = (like.den * both >= like.num * (na[:, None] + nb[None] - both)) & (comps[left][:, None] != comps[right][None])
             p, q = np.nonzero(good)
             out += forest(ids, comps, left[p], right[q])
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field("doc_id").type) for k in (0, 1)], ["a", "b"])
@@ -258,14 +282,14 @@ def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFra
     return by_group(full.select("h", "i", "j", "mine", "doc_id", "c", "sketch", "text"), ["h", "i", "j"], run, f"a {kind}, b {kind}").distinct()
 
 
-def link(docs: DataFrame) -> DataFrame:
+def link(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     component_id is the least doc_id reachable by links; kept is doc_id = component_id. Null and empty texts have no
     shingles and stay alone. Rows with a null doc_id are in no class: component_id is null and kept true. Rows that repeat a
     doc_id with one text are one document; an empty table gives no rows. Other columns don't matter.
     """
-    sig = written(signatures(docs), "minhash-signatures")
+    sig = written(signatures(docs, like), "minhash-signatures")
     sets = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
     least = sets.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = sets.join(least, (sets["digest"] == least["digest"]) & (sets["doc_id"] == F.col("class_id"))).select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"])
@@ -275,10 +299,10 @@ def link(docs: DataFrame) -> DataFrame:
     rows = written(rows.join(buckets, "h"), "minhash-buckets")
     # Only documents that share a bucket are read from here on.
     texts = written(docs.select("doc_id", "text").join(rows.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
-    pairs = written(_near(rows.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), classes), "minhash-pairs")
-    edges = written(_confirmed(pairs, texts), "minhash-links")
+    pairs = written(_near(rows.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), classes, like), "minhash-pairs")
+    edges = written(_confirmed(pairs, texts, like), "minhash-links")
     comp = components(edges)
-    more = written(_across(rows, classes, comp, texts), "minhash-links")
+    more = written(_across(rows, classes, comp, texts, like), "minhash-links")
     if not more.isEmpty():
         comp = components(edges.unionByName(more))
     member = sig.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
@@ -288,7 +312,7 @@ def link(docs: DataFrame) -> DataFrame:
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def kept_rows(docs: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """The rows of docs that link() keeps, with all their columns."""
-    gone = link(docs).filter("NOT kept").select("doc_id")
+    gone = link(docs, like).filter("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

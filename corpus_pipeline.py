@@ -20,9 +20,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least doc_id, of each group of near copies."""
+    """One document, that of the least doc_id, of each group of near copies: five-word shingles, a similarity of 0.8."""
     attach(spark)
-    return near_dedup.kept_rows(docs)
+    return near_dedup.kept_rows(docs, near_dedup.STAGE)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,25 @@ def test_rejects_by_language():
     m = toxicity.Model()
     m.thresholds = {"": 0.6, "fr": 0.8}
     assert (m.threshold("fr"), m.threshold("xx"), m.threshold(None)) == (0.8, 0.6, 0.6)
+
+
+def test_near_dedup_stage_takes_five_words_and_a_similarity_of_four_fifths(spark, docs, prose):
+    r = random.Random(6)
+    fresh = lambda tag, n: [f"{tag}{k}" for k in range(n)]
+    rows = []
+    for k in range(12):
+        base, added = fresh(f"b{k}x", 400), fresh(f"a{k}x", 80)
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join(base + added)), (10 * k + 2, " ".join(base + fresh(f"c{k}x", 130)))]
+        at = r.randrange(400)
+        rows.append((10 * k + 3, " ".join(base[:at] + added + base[at:])))
+    plain = {d: (frozenset(brute.shingles(t, 5)), t) for d, t in rows}
+    root = {d: d for d in plain}
+    for a in sorted(plain):  # copies of one base only share shingles
+        for b in sorted(x for x in plain if x // 10 == a // 10 and x > a):
+            x, y = plain[a][0], plain[b][0]
+            if 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if c == high else c for d, c in root.items()}
+    got = {x.doc_id for x in corpus_pipeline.near_dedup_stage(spark, docs(rows), "").collect()}
+    assert got == {d for d, c in root.items() if d == c}
+    assert {10 * k + 1 for k in range(12)}.isdisjoint(got) and {10 * k + 2 for k in range(12)} <= got
