@@ -48,6 +48,31 @@ def test_decontamination_in_chunks(docs, spark, items, monkeypatch):
     assert decontaminate.clean(docs(rows), bench.limit(0)).count() == len(rows)
 
 
+def test_decontamination_where_words_repeat(docs, spark, prose):
+    """A long item's middle is a repeated word, in the document or in the item."""
+    whole = [(k, [f"i{k}x{j}" for j in range(n)]) for k, n in enumerate((104, 304, 304, 604, 604))]
+    blank = [(k, w[:40] + ["removed"] * ((len(w) - 4) // 9 - 4) + w[40 + (len(w) - 4) // 9 - 4 :]) for k, w in whole]
+    rows = [(k, " ".join(prose(k, 50, 2000) + w + prose(90 + k, 40, 2000))) for k, w in blank]
+    rows += [(10 + k, " ".join(w)) for k, w in whole] + [(20 + k, " ".join(w[:-30] + ["removed"] * 300)) for k, w in blank]
+    items = [(k, " ".join(w)) for k, w in whole] + [(10 + k, " ".join(w)) for k, w in blank]
+    want = brute.leaks(rows, items)
+    assert {(k, k) for k, _ in whole} | {(10 + k, 10 + k) for k, _ in whole} <= set(want)
+    got = decontaminate.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+
+
+def test_features_of_windows_number_equal_shingles():
+    r = np.random.default_rng(3)
+    sh, own = r.integers(0, 9, 200).astype(np.uint64), 24
+    gained, lost = decontaminate._numbered(sh, own)
+    held = sorted(gained[:own].tolist())
+    for p in range(len(sh) - own + 1):
+        assert held == sorted(decontaminate._numbered(sh[p : p + own], own)[0].tolist()) and len(set(held)) == own
+        if p + own < len(sh):
+            held.remove(int(lost[p]))
+            held = sorted([*held, int(gained[p + own])])
+
+
 def test_blocks_find_all_within_the_radius():
     r = np.random.default_rng(4)
     m = decontaminate.Matcher([k for k in range(300)], [f"w{k} x{k} y{k} z{k} q{k}" for k in range(300)])
