@@ -3,8 +3,8 @@
 Paths become shapes: digits are a number sign. Per host, shapes form a tree of three levels (the last holds the rest of the
 path). A parent with more than MANY children generalises those below a twentieth of its urls into a wildcard. Then branches
 at the first level whose distribution over the rest of the shape is like that of the whole host, and whose labels don't speak
-against it, merge. Labels are the verdicts of the rules. A template is rejected if its share of blocked urls, where each
-unlabelled url and SMOOTH more count a half, is at least PURITY: templates without labels stay.
+against it, merge. Labels are the verdicts of the rules. A template is rejected if the share of blocked urls among its
+labelled ones, where SMOOTH more count a half, is at least PURITY: templates without labels stay.
 
 The tree is built from counts of distinct shapes a host, so hot hosts cost a partial sum.
 """
@@ -72,7 +72,7 @@ def steps(rules: tuple = RULES, duck: bool = False) -> list[tuple[str, str]]:
   FROM {{branch}} b JOIN {{whole}} w ON b.host = w.host JOIN {{overlap}} o ON b.host = o.host AND b.t1 = o.t1"""),
         ("placed", f"""SELECT l.host, l.shape, l.n, l.known, l.bad, m.m1, l.tail FROM {{level3}} l JOIN {{merged}} m ON l.host = m.host AND l.t1 = m.t1"""),
         ("template", f"""SELECT host, m1, tail, sum(n) AS n, sum(known) AS known, sum(bad) AS bad FROM {{placed}} GROUP BY host, m1, tail"""),
-        ("verdict", f"""SELECT p.host, p.shape, CASE WHEN t.bad + (t.n - t.known + {SMOOTH}e0) * 0.5e0 >= {PURITY}e0 * (t.n + {SMOOTH}e0) THEN 'block' ELSE 'allow' END AS verdict
+        ("verdict", f"""SELECT p.host, p.shape, CASE WHEN t.bad + {SMOOTH}e0 * 0.5e0 >= {PURITY}e0 * (t.known + {SMOOTH}e0) THEN 'block' ELSE 'allow' END AS verdict
   FROM {{placed}} p JOIN {{template}} t ON p.host = t.host AND p.m1 = t.m1 AND p.tail = t.tail"""),
         ("result", """SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.label, v.verdict) AS verdict FROM {judged} j JOIN {verdict} v ON j.host = v.host AND j.shape = v.shape"""),
     ]
