@@ -13,9 +13,13 @@ words of a shingle, the similarity and the bands: NEAR is the query's (three wor
 4. Candidates are confirmed on their full sets.
 
 First each bucket's members meet its least member only. The components of these links join most groups, however large.
-Buckets that still hold different components then compare all their members, in blocks, and confirm pairs of different
-components by products of incidence matrices within a task, so no link between different texts is lost; only links that join
-components leave the task, at most as many as it has members.
+Buckets that still hold different components then compare the sketches of all their members, in blocks; the texts of members
+that are near one of another component follow, and pairs of different components are confirmed by products of incidence
+matrices within a task, so no link between different texts is lost; only links that join components leave the task, at most as
+many as it has members.
+
+Every join whose key a large group of copies may share (digest, bucket, hub, component) goes through keyed_join, which leaves
+the rows of hot keys where they are.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import components
-from .shared import bounds, by_group, written
+from .shared import bounds, by_group, keyed_join, written
 
 SHINGLE, NUM, DEN = 3, 85, 100
 BANDS, ROWS = 36, 5
@@ -137,7 +141,7 @@ def linked(a: np.ndarray, b: np.ndarray, like: Likeness = NEAR) -> bool:
 
 
 def signatures(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
-    """doc_id, n_shingles, digest, bands, sketch of each row of docs; digest and the rest are null for empty sets."""
+    """doc_id, h (hash of the text), n_shingles, digest, bands, sketch of each row of docs; the last three are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -153,17 +157,18 @@ def signatures(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
                     digest[k] = xxhash.xxh3_128_digest(s.tobytes())
                     bands[k] = words.mix(folded + np.arange(like.bands, dtype=np.uint64)).view(np.int64)
                     sketch[k] = odd_sketch(mins)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], ["doc_id", "h", "n_shingles", "digest", "bands", "sketch"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, sketch binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, f"doc_id {kind}, h long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _near(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """The (a, b) of pairs that sizes and odd sketches allow."""
-    own = classes.select("doc_id", "n_shingles", "sketch")
-    x = pairs.join(own.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a")
-    x = x.filter("na IS NOT NULL").join(own.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
+def _near(pairs: DataFrame, hubs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """The (a, b) of pairs that sizes and odd sketches allow. hubs: a, n (pairs that have it)."""
+    own = classes.select("cid", "n_shingles", "sketch")
+    few = written(hubs.join(own.select(F.col("cid").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa")), "a"), "minhash-hubs")
+    x = keyed_join(pairs, few, ["a"], pairs.count())
+    x = x.join(own.select(F.col("cid").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb")), "b")
     x = x.filter(f"{like.num} * greatest(na, nb) <= {like.den} * least(na, nb)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,7 @@ def _near(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
                 good = _POP[a ^ b].sum(axis=1) <= like.most_bits
                 yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    return x.select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
+    return x.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
@@ -182,24 +187,23 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
     Pairs that share a are confirmed together, some GROUP at a time: a's text goes to a task once for these.
     """
     parts = F.ceil(F.col("n") / GROUP).cast("int")
-    count = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts)
-    members = pairs.join(count, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("doc_id"))
-    hubs = count.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("doc_id"))
-    needed = members.unionByName(hubs).join(texts, "doc_id").select("a", "part", "doc_id", "text")
+    count = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", parts), "minhash-parts")
+    members = keyed_join(pairs, count, ["a"], pairs.count()).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("cid"))
+    hubs = count.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("cid"))
+    needed = members.unionByName(hubs).join(texts, "cid").select("a", "part", "cid", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at, keep, sets, hub = bounds(batch, ["a", "part"]), [], [], None
-        a, own = (batch.column(c).to_numpy() for c in ("a", "doc_id"))
+        a, own = (batch.column(c).to_numpy() for c in ("a", "cid"))
         every = (s for _, s in sets_of(batch.column("text"), like.shingle))
         for g in range(len(at) - 1):
             rows = range(at[g], at[g + 1])
             sets = [next(every) for _ in rows]
             hub = next((s for k, s in zip(rows, sets, strict=True) if own[k] == a[k]), None)
             keep += [k for k, s in zip(rows, sets, strict=True) if hub is not None and own[k] != a[k] and linked(hub, s, like)]
-        yield batch.select(["a", "doc_id"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
+        yield batch.select(["a", "cid"]).take(pa.array(keep, pa.int64())).rename_columns(["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return by_group(needed, ["a", "part"], run, f"a {kind}, b {kind}")
+    return by_group(needed, ["a", "part"], run, "a long, b long")
 
 
 def joins(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -241,33 +245,45 @@ def forest(ids: np.ndarray, comps: np.ndarray, p: np.ndarray, q: np.ndarray) ->
 
 
 def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFrame, like: Likeness) -> DataFrame:
-    """Links (a, b) between different components among the members of a bucket, confirmed on full sets. rows: h, doc_id.
+    """Links (a, b) between different components among the members of a bucket, confirmed on full sets. rows: h, cid.
 
-    Members of a bucket with several components meet in pairs of blocks. Only pairs that sizes and odd sketches allow are
-    confirmed, and of links as few leave a task as join the same components.
+    Members of a bucket with several components meet in pairs of blocks, first by their sketches. Those that sizes and sketches
+    let be near one of another component meet again with their texts, and of links as few leave a task as join the same
+    components.
     """
-    placed = rows.join(comp, rows["doc_id"] == comp["node"], "left").select("h", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    placed = rows.join(comp, rows["cid"] == comp["node"], "left").select("h", "cid", F.coalesce("component", "cid").alias("c"))
+    placed = written(placed, "minhash-placed")
     split = placed.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
-    split = split.select("h", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    inside = placed.join(split, "h").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    split = written(split.select("h", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "minhash-split")
+    inside = keyed_join(placed, split, ["h"], placed.count()).withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     # A member goes to each pair of blocks that holds its own.
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "c")
-    full = dealt.join(classes.select("doc_id", "sketch").join(texts, "doc_id"), "doc_id")
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("h", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "cid", "c")
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at, out = bounds(batch, ["h", "i", "j"]), []
-        ids, comps, mine, low, high = (batch.column(k).to_numpy() for k in ("doc_id", "c", "mine", "i", "j"))
+    def near(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the left and right members of each group that are near one of another component, and which are."""
+        at = bounds(batch, ["h", "i", "j"])
+        comps, mine, low, high, n = (batch.column(k).to_numpy() for k in ("c", "mine", "i", "j", "n_shingles"))
         bits = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
-        texts = batch.column("text")
         for g in range(len(at) - 1):
             own = np.arange(at[g], at[g + 1])
             left, right = own[mine[own] == low[own[0]]], own[mine[own] == high[own[0]]]
-            if not len(left) or not len(right):
-                continue
-            near = (apart(bits[left], bits[right]) <= like.most_bits) & (comps[left][:, None] != comps[right][None])
-            left, right = left[near.any(axis=1)], right[near.any(axis=0)]
-            if not len(left):
-                continue
+            if len(left) and len(right):
+                na, nb = n[left][:, None], n[right][None]
+                good = (comps[left][:, None] != comps[right][None]) & (like.num * np.maximum(na, nb) <= like.den * np.minimum(na, nb))
+                good &= apart(bits[left], bits[right]) <= like.most_bits
+                left, right = left[good.any(axis=1)], right[good.any(axis=0)]
+                if len(left):
+                    yield left, right
+
+    names = ["h", "i", "j", "mine", "cid", "c"]
+
+    def by_sketch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        some = [np.union1d(left, right) for left, right in near(batch)]
+        yield batch.select(names).take(pa.array(np.concatenate(some) if some else np.zeros(0, np.int64)))
+
+    def by_text(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, comps, texts, out = batch.column("cid").to_numpy(), batch.column("c").to_numpy(), batch.column("text"), []
+        for left, right in near(batch):
             some = np.union1d(left, right)
             sets = dict(zip(some.tolist(), (s for _, s in sets_of(texts.take(pa.array(some)), like.shingle)), strict=True))
             a, b = [sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()]
@@ -276,43 +292,62 @@ def _across(rows: DataFrame, classes: DataFrame, comp: DataFrame, texts: DataFra
             good = (like.den * both >= like.num * (na[:, None] + nb[None] - both)) & (comps[left][:, None] != comps[right][None])
             p, q = np.nonzero(good)
             out += forest(ids, comps, left[p], right[q])
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], batch.schema.field("doc_id").type) for k in (0, 1)], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    own = classes.select("cid", "n_shingles", "sketch")
+    keys, kinds = ["h", "i", "j"], "h long, i int, j int, mine int, cid long, c long"
+    some = by_group(dealt.join(own, "cid").select(*names, "n_shingles", "sketch"), keys, by_sketch, kinds)
+    full = written(some, "minhash-near").join(own, "cid").join(texts, "cid").select(*names, "n_shingles", "sketch", "text")
+    return by_group(full, keys, by_text, "a long, b long").distinct()
 
-    kind = classes.schema["doc_id"].dataType.simpleString()
-    return by_group(full.select("h", "i", "j", "mine", "doc_id", "c", "sketch", "text"), ["h", "i", "j"], run, f"a {kind}, b {kind}").distinct()
+
+def _labelled(docs: DataFrame, like: Likeness) -> DataFrame:
+    """doc_id, h (hash of the text), n_shingles, component_id of every row of docs."""
+    sig = written(signatures(docs, like).withColumn("row", F.monotonically_increasing_id()), "minhash-signatures")
+    sets = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # Classes of equal sets, numbered; the first row of the least doc_id stands for each.
+    least = sets.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    least = written(least.withColumn("cid", F.monotonically_increasing_id()), "minhash-digests")
+    classes = written(sig.join(least.select("row", "cid"), "row").select("cid", "doc_id", "h", "n_shingles", "bands", "sketch"), "minhash-classes")
+    rows = classes.select(F.explode("bands").alias("h"), "cid")
+    buckets = rows.groupBy("h").agg(F.min("cid").alias("a"), F.max("cid").alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z").select("h", "a", "n")
+    rows = written(keyed_join(rows, written(buckets, "minhash-buckets"), ["h"], like.bands * classes.count()).select("h", "a", "cid"), "minhash-members")
+    # Only documents that share a bucket are read from here on.
+    some = classes.join(rows.select("cid").distinct(), "cid").select("doc_id", "h", "cid")
+    texts = written(docs.select("doc_id", F.xxhash64("text").alias("h"), "text").join(some, ["doc_id", "h"]).select("cid", "text").dropDuplicates(["cid"]), "minhash-texts")
+    pairs = written(rows.filter("cid <> a").select("a", F.col("cid").alias("b")).distinct(), "minhash-pairs")
+    pairs = written(_near(pairs, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), classes, like), "minhash-pairs")
+    comp = components(written(_confirmed(pairs, texts, like), "minhash-links"))
+    placed = classes.select("cid", "doc_id").join(comp, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("component", "cid").alias("c"))
+    more = written(_across(rows.select("h", "cid"), classes, comp, texts, like), "minhash-links")
+    if not more.isEmpty():
+        # These links join components, so their graph is that of components.
+        ends = [comp.select(F.col("node").alias(k), F.col("component").alias(f"c{k}")) for k in ("a", "b")]
+        over = more.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        top = components(over)
+        placed = placed.join(top, F.col("c") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("component", "c").alias("c"))
+    placed = written(placed, "minhash-components")
+    label = written(placed.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "minhash-labels")
+    of_class = keyed_join(placed, label, ["c"], placed.count()).select("cid", "component_id")
+    of_set = written(least.select("digest", "n", "cid").join(of_class, "cid").select("digest", "n", "component_id"), "minhash-labels")
+    some = keyed_join(sets, of_set, ["digest"], sets.count()).select("doc_id", "h", "n_shingles", "component_id")
+    rest = sig.filter("digest IS NULL OR doc_id IS NULL").select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.unionByName(rest)
 
 
 def link(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
-    component_id is the least doc_id reachable by links; kept is doc_id = component_id. Null and empty texts have no
-    shingles and stay alone. Rows with a null doc_id are in no class: component_id is null and kept true. Rows that repeat a
-    doc_id with one text are one document; an empty table gives no rows. Other columns don't matter.
+    component_id is the least doc_id reachable by links; kept is doc_id = component_id. Null and empty texts have no shingles
+    and stay alone. Rows with a null doc_id are in no class: component_id is null and kept true. Rows that repeat a doc_id are
+    documents of their own, each with its text's links; equal rows are equal. Of equal sets the least doc_id counts. Texts of
+    any length are taken whole. An empty table gives no rows. Other columns don't matter.
     """
-    sig = written(signatures(docs, like), "minhash-signatures")
-    sets = sig.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
-    least = sets.groupBy("digest").agg(F.min("doc_id").alias("class_id"))
-    classes = sets.join(least, (sets["digest"] == least["digest"]) & (sets["doc_id"] == F.col("class_id"))).select("doc_id", "n_shingles", "bands", "sketch").dropDuplicates(["doc_id"])
-    classes = written(classes, "minhash-classes")
-    rows = classes.select(F.explode("bands").alias("h"), "doc_id")
-    buckets = rows.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a <> z").select("h", "a")
-    rows = written(rows.join(buckets, "h"), "minhash-buckets")
-    # Only documents that share a bucket are read from here on.
-    texts = written(docs.select("doc_id", "text").join(rows.select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"]), "minhash-texts")
-    pairs = written(_near(rows.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), classes, like), "minhash-pairs")
-    edges = written(_confirmed(pairs, texts, like), "minhash-links")
-    comp = components(edges)
-    more = written(_across(rows, classes, comp, texts, like), "minhash-links")
-    if not more.isEmpty():
-        comp = components(edges.unionByName(more))
-    member = sig.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
-    out = member.join(comp, member["class_id"] == comp["node"], "left")
-    label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
-    out = out.select("doc_id", "n_shingles", label.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return _labelled(docs, like).select("doc_id", "n_shingles", "component_id", kept)
 
 
 def kept_rows(docs: DataFrame, like: Likeness = NEAR) -> DataFrame:
-    """The rows of docs that link() keeps, with all their columns."""
-    gone = link(docs, like).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that link() keeps, with all their columns. Equal rows of a kept doc_id all stay."""
+    gone = _labelled(docs, like).filter("doc_id <> component_id").select("doc_id", "h").distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["doc_id"]) & (F.xxhash64(docs["text"]) == gone["h"]), "left_anti").select(*(docs[c] for c in docs.columns))

@@ -16,13 +16,19 @@ from ..session import attach
 #: ASCII white space, as a regular expression of both Java and Python.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-FILES_A_CORE = 6
+#: A key that may hold more than this share of a table's rows, and more than so many of them, is hot.
+HOT_KEYS, HOT_ROWS = 20_000, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where a session has none (tests), one of our own is set."""
+    """The folder in ``spark.checkpoint.dir``; a local session without one (tests) gets one of our own.
+
+    On a cluster a folder of the driver's machine is no shared one, so there the setting must be given.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="codeloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -37,14 +43,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: the lineage ends there, and lost executors cost no recomputation.
 
-    Tables have FILES_A_CORE files for each core of the cluster at most, since each file costs its writer buffers.
+    The stage that makes df keeps its tasks; after a shuffle, Spark sizes them by their bytes.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keyed_join(many: DataFrame, few: DataFrame, keys: list[str], total: int, n: str = "n") -> DataFrame:
+    """many inner-joined with few, which has one row for each key and in column n how many rows many has of it, at least about.
+
+    Keys with over total / HOT_KEYS rows are hot. There are HOT_KEYS of them at most, so their rows of few are broadcast, a
+    bounded number, and many's rows of such a key stay where they are. All others are shuffled, of which no key has more.
+    few and many are read twice, so they should be written tables.
+    """
+    hot = few.filter(F.col(n) > max(HOT_ROWS, total // HOT_KEYS))
+    rare = few.filter(F.col(n) <= max(HOT_ROWS, total // HOT_KEYS))
+    there = F.broadcast(hot)
+    cold = many.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return many.join(there, keys).unionByName(cold.join(rare, keys))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
