@@ -4,18 +4,20 @@ A window is WINDOW consecutive words of one document. Of the GRAM-word sequences
 (the first of equals) is its anchor; it depends on the window's words alone, so equal windows have equal anchors at equal
 places. Neighbouring windows mostly share an anchor: such a run is one fingerprint, about one for fourteen words, and no window
 is without. A fingerprint has two independent hashes, of the anchor's words (fp) and of all words that the run's windows cover
-(area).
-
-The index keeps sorted, immutable runs: tables bucketed and sorted by fp, with how often each fp was seen. A new batch becomes
-a run; it is merge-joined with the history (both sides are sorted alike, so nothing is shuffled), and the merged run replaces
-both: compaction. A lookup against the compacted index verifies in steps:
-
-1. A fingerprint whose fp was seen once has no twin.
-2. Of the others, those that share both hashes (128 bits) have twins for all their windows.
-3. Only where an fp has different areas, fingerprints without a twin are compared window by window, by two hashes of the whole
-   window, together with one representative of each shared area of the same fp. So large groups of copies count once here.
-
-Hot fingerprints are only counted (with partial sums before the shuffle) and joined; no group of them is gathered in a task.
+(area). Fingerprints with both hashes (128 bits) equal are a class; a class has a place: one of its fingerprints' document and
+windows.
+
+The index holds immutable runs. A run has two tables, each bucketed and sorted by its key: heads, one row for each fp with its
+first class, and cells, all classes of the fps that have several, an fp of many classes spread over several cells. So no key has
+more than a bounded number of rows, however often a passage comes. A batch takes these steps:
+
+1. Its fingerprints are counted by class, with partial sums before the shuffle, and written as a run.
+2. The run's heads are merge-joined with those of every older run (all are bucketed and sorted alike, so nothing is shuffled).
+   An fp seen once has no twin and goes; of the others the classes are fetched, by merge joins with the cells.
+3. A class seen more than once has twins for all its windows, in the batch and, where the class was alone so far, in the history.
+4. Only where an fp has different areas, one place of each class is verified on its text: its windows are compared by two
+   hashes of the whole window. So large groups of copies count once here, and of the history only such places' texts are read.
+5. Runs of one level are compacted into one of the next as soon as there are FAN.
 """
 
 from __future__ import annotations
@@ -25,17 +27,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import fresh_path, shuffle_partitions, written
+from .shared import HOT_KEYS, fresh_path, keyed_join, shuffle_partitions, written
 
 WINDOW, GRAM = 35, 8
+#: Runs of a level that are compacted; classes of an fp in one cell, about.
+FAN, CELL = 2, 1000
 #: Texts are cut into parts of so many words that overlap by WINDOW - 1; a place within one fits into the key below.
 PART = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
 _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
+#: Documents to verify whose keys (16 bytes) are broadcast, to read their texts before any shuffle; with more, texts shuffle.
+MOST_PLACES = 1 << 20
+PLACE = ("k1", "k2", "lo", "hi")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """k1, k2 (128 bits that stand for doc_id and text, nulls too), doc_id, text. Rows with equal ones are equal throughout."""
+    return docs.select(F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit(1), "text", "doc_id").alias("k2"), "doc_id", "text")
 
 
 def _runs(h: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -76,7 +88,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """fp, area, doc_id, lo, hi (first and last window of the run, by their first words) of all windows of docs."""
+    """fp, area, k1, k2, lo, hi (first and last window of the run, by their first words) of all windows of docs (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,60 +98,121 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     fp = words.spans(*words.prefix(h), anchor, anchor + GRAM)
                     area = words.spans(*words.prefix(words.mix(h ^ _OTHER)), lo, hi + WINDOW)
                     begin = base[text] - at[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(area.view(np.int64)), batch.column("doc_id").take(pa.array(first + text)), pa.array((lo + begin).astype(np.int32)), pa.array((hi + begin).astype(np.int32))], ["fp", "area", "doc_id", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(area.view(np.int64)), *(batch.column(k).take(pa.array(first + text)) for k in ("k1", "k2")), pa.array((lo + begin).astype(np.int32)), pa.array((hi + begin).astype(np.int32))], ["fp", "area", *PLACE])
+
+    return docs.select("k1", "k2", "text").mapInArrow(run, "fp long, area long, k1 long, k2 long, lo int, hi int")
+
+
+def _first(*columns: str, names: tuple = PLACE) -> list[Column]:
+    """The columns of the first row that has them, as names. They are null together, so all are of one row."""
+    return [F.first(c, ignorenulls=True).alias(n) for c, n in zip(columns or names, names, strict=True)]
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"fp long, area long, doc_id {kind}, lo int, hi int")
+
+def _cell(parts: Column) -> Column:
+    return F.xxhash64("fp", F.pmod("area", parts))
+
+
+def _pieces(parts: str = "parts") -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)).alias("area")
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of fingerprints in the session's shared folder."""
+    """The runs, as tables in the session's shared folder; see the module's text. A new index is empty."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None) -> None:
-        self.spark, self.buckets = spark, buckets or shuffle_partitions(spark)
+    OLD = ("o1", "o2", "olo", "ohi")
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fan: int = FAN) -> None:
+        self.spark, self.buckets, self.fan = spark, buckets or shuffle_partitions(spark), fan
         self.path = fresh_path(spark, "fingerprints")
-        self.runs: list[str] = []
+        self.runs: list[tuple[int, str]] = []  # level, name
+
+    def _save(self, df: DataFrame, name: str, key: str) -> None:
+        df.write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
 
-    def _write(self, df: DataFrame) -> str:
+    def _run(self, classes: DataFrame, level: int) -> str:
+        """Writes classes (fp, area, n, place) as a run. No class comes twice."""
         name = f"fingerprints_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
+        # Of fps with very many classes there are HOT_KEYS at most; they are spread over several cells.
+        parts = F.ceil(F.count(F.lit(1)) / max(CELL, classes.count() // HOT_KEYS)).alias("parts")
+        heads = classes.groupBy("fp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), parts, F.min("area").alias("area"), F.max("area").alias("last"), *_first())
+        self._save(heads, f"{name}_heads", "fp")
+        heads = self.spark.table(f"{name}_heads")
+        cells = classes.join(F.broadcast(heads.filter("parts > 1").select("fp", "parts")), "fp", "left").withColumn("cell", _cell(F.coalesce("parts", F.lit(1))))
+        wanted = heads.filter("classes > 1").select("fp", _pieces(), "parts").select(_cell(F.col("parts")).alias("cell")).distinct()
+        self._save(cells.join(wanted, "cell", "left_semi").select("cell", "fp", "area", "n", *PLACE), f"{name}_cells", "cell")
+        self.runs.append((level, name))
         return name
 
-    def append(self, batch: DataFrame) -> None:
-        """Adds a batch of documents (doc_id, text) as a new sorted run."""
-        seen = fingerprints(batch).groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-        self.runs.append(self._write(seen))
-
-    def compact(self) -> None:
-        """Merge-joins all runs, two at a time, into one. The old runs go."""
-        while len(self.runs) > 1:
-            a, b = self.runs[:2]
-            x, y = self.spark.table(a).alias("x"), self.spark.table(b).hint("merge").alias("y")
-            both = x.join(y, F.col("x.fp") == F.col("y.fp"), "full").select(F.coalesce("x.fp", "y.fp").alias("fp"), (F.coalesce("x.n", F.lit(0)) + F.coalesce("y.n", F.lit(0))).alias("n"))
-            merged = self._write(both)
-            for old in (a, b):
-                self._drop(old)
-            self.runs = [*self.runs[2:], merged]
+    def _classes(self, name: str, heads: DataFrame) -> DataFrame:
+        """fp, area, n, place and mixed of the classes of a run whose fps are in heads (the run's, with the column mixed)."""
+        alone = heads.filter("classes = 1").select("fp", "area", "n", *PLACE, "mixed")
+        several = heads.filter("classes > 1").select("fp", "mixed", _pieces(), "parts").select(_cell(F.col("parts")).alias("cell"), F.col("fp").alias("of"), "mixed")
+        found = self.spark.table(f"{name}_cells").join(several, "cell").filter("fp = of")
+        return alone.unionByName(found.select("fp", "area", "n", *PLACE, "mixed"))
 
     def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
         jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-    def repeated(self) -> DataFrame:
-        """fp of all fingerprints seen more than once, from the compacted run."""
-        self.compact()
-        run = self.spark.read.schema("fp long, n long").parquet(f"{self.path}/{self.runs[0]}")
-        return run.filter("n > 1").select("fp")
+        for table in (f"{name}_heads", f"{name}_cells"):
+            self.spark.sql(f"DROP TABLE {table}")
+            where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def add(self, members: DataFrame) -> DataFrame:
+        """Adds a batch by its fingerprints; gives the classes that have twins or must be verified, written.
+
+        fp, area, n (fingerprints of the batch and the history), own (of the batch), place (one of the batch's, null without
+        one), OLD (one of the history's) and mixed (has fp several areas?).
+        """
+        classes = written(members.groupBy("fp", "area").agg(F.count(F.lit(1)).alias("n"), *_first()), "fingerprint-classes")
+        older = [name for _, name in self.runs]
+        name = self._run(classes, 0)
+        mine = self.spark.table(f"{name}_heads")
+        known = mine.select("fp", "n", F.col("area").alias("low"), F.col("last").alias("high"))
+        for other in older:
+            theirs = self.spark.table(f"{other}_heads").select("fp", F.col("n").alias("m"), F.col("area").alias("a"), F.col("last").alias("z"))
+            known = known.join(theirs, "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.least("low", "a").alias("low"), F.greatest("high", "z").alias("high"))
+        known = known.filter("n > 1").select("fp", (F.col("low") < F.col("high")).alias("mixed"))
+        kinds = dict(zip((*PLACE, *self.OLD), ("long", "long", "int", "int") * 2, strict=True))
+        none = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+        here = self._classes(name, mine.join(known, "fp")).select("fp", "area", "n", "mixed", F.col("n").alias("own"), *PLACE, *none(self.OLD))
+        for other in older:
+            there = self._classes(other, self.spark.table(f"{other}_heads").join(known, "fp"))
+            renamed = [F.col(c).alias(o) for c, o in zip(PLACE, self.OLD, strict=True)]
+            here = here.unionByName(there.select("fp", "area", "n", "mixed", F.lit(0).cast("long").alias("own"), *none(PLACE), *renamed))
+        seen = here.groupBy("fp", "area").agg(F.sum("n").alias("n"), F.sum("own").alias("own"), F.first("mixed").alias("mixed"), *_first(), *_first(names=self.OLD))
+        found = written(seen.filter("n > 1 OR mixed"), "fingerprint-twins")
+        self._compact()
+        return found
+
+    def _compact(self) -> None:
+        """Merges the runs of a level, where there are enough, into one of the next; the old ones go."""
+        while True:
+            level = next((a for a in sorted({a for a, _ in self.runs}) if sum(b == a for b, _ in self.runs) >= self.fan), None)
+            if level is None:
+                return
+            old = [name for a, name in self.runs if a == level]
+            every = [self._classes(name, self.spark.table(f"{name}_heads").withColumn("mixed", F.lit(False))) for name in old]
+            both = every[0]
+            for other in every[1:]:
+                both = both.unionByName(other)
+            merged = written(both.groupBy("fp", "area").agg(F.sum("n").alias("n"), *_first()), "fingerprint-classes")
+            self.runs = [r for r in self.runs if r[0] != level]
+            self._run(merged, level + 1)
+            for name in old:
+                self._drop(name)
+
+    def close(self) -> None:
+        """Drops all runs."""
+        for _, name in self.runs:
+            self._drop(name)
+        self.runs = []
 
 
 def _window_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, w1, w2, at of the windows in spans (array<struct<lo, hi>>, may be null) of docs."""
+    """k1, k2, w1, w2, at of the windows in spans (array<struct<lo, hi>>) of docs (k1, k2, text, spans)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(batch.column("spans").is_valid())
             if not batch.num_rows:
                 continue
             spans = batch.column("spans")
@@ -156,40 +229,46 @@ def _window_hashes(docs: DataFrame) -> DataFrame:
                 a = start + at[text]
                 one = words.spans(*words.prefix(h), a, a + WINDOW)
                 two = words.spans(*words.prefix(words.mix(h ^ _OTHER)), a, a + WINDOW)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(first + text)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(start.astype(np.int32))], ["doc_id", "w1", "w2", "at"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first + text)) for c in ("k1", "k2")), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(start.astype(np.int32))], ["k1", "k2", "w1", "w2", "at"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, w1 long, w2 long, at int")
+    return docs.select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, w1 long, w2 long, at int")
+
+
+def _spans(df: DataFrame) -> DataFrame:
+    """k1, k2 and the distinct spans of a document, as an array; of a size in proportion to the document's own text at most."""
+    return df.select("k1", "k2", F.struct("lo", "hi").alias("span")).distinct().groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
 
 
-def repeated_spans(docs: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """doc_id, lo, hi: runs of windows of docs that have a twin in docs.
+def add_batch(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame) -> DataFrame:
+    """k1, k2, lo, hi: runs of windows whose twins a batch brings, in the batch and in what the index held before.
 
-    docs must have been appended to the index, each row once, with different doc_ids. The index tells which fingerprints come
-    more than once; twins are verified on texts, so docs are the history and the new batch, of which a caller may keep the
-    batch's rows. Documents without a repeated fingerprint cost a pass over their text and no more.
+    batch and corpus are keyed(); corpus holds the texts of all batches so far, this one's too, of which only those that must
+    be verified are read beyond their keys. Whatever an earlier batch's call gave stays true, so the spans of all calls together
+    are those of all windows with a twin.
     """
-    hits = written(fingerprints(docs).join(index.repeated(), "fp"), "fingerprint-hits")
-    place = F.xxhash64("doc_id", "lo")
-    areas = hits.groupBy("fp", "area").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
-    mixed = areas.groupBy("fp").agg((F.count(F.lit(1)) > 1).alias("mixed"))
-    judged = hits.join(areas.join(mixed, "fp"), ["fp", "area"])
-    shared = judged.filter("n > 1").select("doc_id", "lo", "hi")
-    open_ = judged.filter(F.col("mixed") & ((F.col("n") == 1) | (place == F.col("first")))).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    # A left join, as in removed(): so both read one shuffle of the texts.
-    windows = _window_hashes(docs.select("doc_id", "text").join(open_, "doc_id", "left"))
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    single = windows.join(twice, ["w1", "w2"]).select("doc_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return shared.unionByName(single)
+    members = written(fingerprints(batch), "fingerprints")
+    found = index.add(members)
+    old = [F.col(o).alias(c) for c, o in zip(PLACE, index.OLD, strict=True)]
+    # Classes with one fingerprint in the batch have its place, those of more are looked up; so with one in the history.
+    alone = found.filter("n > 1 AND own = 1").select(*PLACE)
+    before = found.filter("own > 0 AND n - own = 1").select(*old)
+    copies = keyed_join(members, found.filter("own > 1").select("fp", "area", F.col("own").alias("n")), ["fp", "area"], members.count()).select(*PLACE)
+    there = [F.coalesce(c, o).alias(c) for c, o in zip(PLACE, index.OLD, strict=True)]
+    open_ = written(_spans(found.filter("mixed").select(*there)), "fingerprint-places")
+    if open_.count() <= MOST_PLACES:
+        corpus = corpus.join(F.broadcast(open_.select("k1", "k2")), ["k1", "k2"], "left_semi")
+    windows = written(_window_hashes(corpus.join(open_, ["k1", "k2"]).dropDuplicates(["k1", "k2"])), "fingerprint-windows")
+    twice = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "fingerprint-windows")
+    single = keyed_join(windows, twice, ["w1", "w2"], windows.count()).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    return alone.unionByName(before).unionByName(copies).unionByName(single)
 
 
 def removed(docs: DataFrame, spans: DataFrame, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words left, joined by one space) of every row of docs.
 
-    What goes are the words that the windows in spans cover.
+    docs is keyed(). What goes are the words that the windows in spans cover.
     """
-    per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(per_doc, "doc_id", "left")
+    joined = docs.join(_spans(spans), ["k1", "k2"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -222,11 +301,15 @@ def removed(docs: DataFrame, spans: DataFrame, texts: bool = True) -> DataFrame:
 def deduplicate(docs: DataFrame, batches: int = 2, texts: bool = True) -> DataFrame:
     """removed() for docs, indexed in so many batches, where every window of docs that also starts elsewhere goes.
 
-    Null and empty texts have no words and keep nothing. Rows must have different doc_ids; a null doc_id has no place of its
-    own, so its words are counted in the index but it keeps all of them. An empty table gives no rows. Other columns don't
-    matter.
+    Null and empty texts have no words and keep nothing. Null doc_ids are like others; rows that repeat a doc_id are documents
+    of their own, and equal rows repeat each other's windows. Texts of any length are taken whole. An empty table gives no rows.
+    Other columns don't matter.
     """
+    every = keyed(docs)
     index = FingerprintIndex(docs.sparkSession)
+    spans = None
     for k in range(batches):
-        index.append(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k))
-    return removed(docs, repeated_spans(docs, index), texts)
+        new = add_batch(index, every.filter(F.pmod("k1", F.lit(batches)) == k), every.filter(F.pmod("k1", F.lit(batches)) <= k))
+        spans = new if spans is None else spans.unionByName(new)
+    index.close()
+    return removed(every, spans, texts)

@@ -60,18 +60,35 @@ def test_kept_text_and_edges(docs, spark):
     assert substring_dedup.deduplicate(docs([])).count() == 0
 
 
-def test_index_merges_batches(docs, prose):
-    a, b = (" ".join(prose(k, 60, 3000)) for k in (1, 2))
-    one, two = docs([(1, a)]), docs([(2, a), (3, b)])
-    index = FingerprintIndex(one.sparkSession, buckets=4)
-    index.append(one)
-    assert index.repeated().count() == 0
-    index.append(two)
-    assert len(index.runs) == 2
-    spans = substring_dedup.repeated_spans(one.unionByName(two), index).collect()
-    assert len(index.runs) == 1 and {r.doc_id for r in spans} == {1, 2}
-    plan = one.sparkSession.table(index.runs[0])
-    assert plan.select("fp").distinct().count() == plan.count()
+def test_rows_without_an_id_of_their_own(docs):
+    """Null ids, ids with several texts, and equal rows."""
+    long = [" ".join(f"{t}{k}" for k in range(60)) for t in "abc"]
+    rows = [(None, long[0]), (None, long[0] + " x"), (5, long[1]), (5, "y " + long[1]), (6, long[2]), (6, long[2]), (7, " ".join(f"d{k}" for k in range(60)))]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in substring_dedup.deduplicate(docs(rows)).collect())
+    assert got == sorted([(0, 60, 60, ""), (0, 61, 60, "x"), (5, 60, 60, ""), (5, 61, 60, "y"), (6, 60, 60, ""), (6, 60, 60, ""), (7, 60, 0, rows[-1][1])])
+
+
+def test_batches_one_by_one(docs, corpus, monkeypatch):
+    """Many batches, cells and levels; each call gives what the batch adds, and texts without a shared anchor are not read."""
+    monkeypatch.setattr(substring_dedup, "CELL", 1)
+    monkeypatch.setattr(substring_dedup, "HOT_KEYS", 1 << 30)
+    some = [r for r in corpus if r[1] is None or len(r[1]) < 100_000]
+    every = substring_dedup.keyed(docs(some))
+    index = FingerprintIndex(every.sparkSession, buckets=4, fan=2)
+    spans = None
+    for k in range(3):
+        new = substring_dedup.add_batch(index, every.filter(every.doc_id % 3 == k), every.filter(every.doc_id % 3 <= k))
+        spans = new if spans is None else spans.unionByName(new)
+        ids = {r.doc_id for r in every.join(new, ["k1", "k2"]).select("doc_id").distinct().collect()}
+        want = [brute.repeated_windows([r for r in some if r[0] % 3 <= j]) for j in (k - 1, k)]
+        assert {d for d, v in want[1].items() if v != want[0].get(d, (v[0], 0, v[2]))} <= ids
+    assert [level for level, _ in index.runs] == [1, 0]
+    heads = every.sparkSession.table(index.runs[0][1] + "_heads")
+    assert heads.select("fp").distinct().count() == heads.count() and heads.filter("parts > 1").count() > 0
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.removed(every, spans).collect()}
+    assert got == brute.repeated_windows(some)
+    index.close()
+    assert index.runs == []
 
 
 def test_near_dedup_is_exact(docs, corpus):
