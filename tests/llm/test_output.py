@@ -211,6 +211,10 @@ def test_encoder_starts_anew_when_full(monkeypatch):
 # ---- top-k
 
 
+def held(score):
+    return max(-(2**63) + 1, min(2**63 - 1, int(score)))
+
+
 def brute_topk(rows, is_query, k):
     good = {}
     for i, v in rows:
@@ -219,7 +223,7 @@ def brute_topk(rows, is_query, k):
     out = set()
     for q, x in good.items():
         if is_query(q):
-            scores = sorted((-int(sum(x * y)), i) for i, y in good.items() if i != q)[:k]
+            scores = sorted((-held(sum(a * b for a, b in zip(x, y, strict=False))), i) for i, y in good.items() if i != q)[:k]
             out |= {(q, r + 1, i, -int(s)) for r, (s, i) in enumerate(scores)}
     return out
 
@@ -228,6 +232,7 @@ def brute_topk(rows, is_query, k):
 def test_topk_is_exact(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "CANDIDATES", 50)
     monkeypatch.setattr(topk, "QUERIES", 7)
+    monkeypatch.setattr(topk, "GROUP", 30)
     r = np.random.default_rng(5)
     centres = r.normal(0, scale, (6, 24))
     v = (centres[r.integers(0, 6, 400)] + r.normal(0, scale / 5, (400, 24))).astype(np.float32)
@@ -244,15 +249,35 @@ def test_topk_of_few(spark):
     assert topk.search(spark.createDataFrame([], schema), F.lit(True)).count() == 0
     one = spark.createDataFrame([(0, [1.0, 2.0])], schema)
     assert topk.search(one, F.lit(True)).count() == 0
-    two = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0])], schema)
-    assert {tuple(r) for r in topk.search(two, F.lit(True), 5).collect()} == {(0, 1, 1, 1024 * 1024), (1, 1, 0, 1024 * 1024)}
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 0.0]), (2, [1.0]), (3, []), (4, [3.0, -1.0, 9.0])]
+    assert {tuple(r) for r in topk.search(spark.createDataFrame(rows, schema), F.lit(True), 9).collect()} == brute_topk(rows, lambda i: True, 9)
+    empty = [(k, []) for k in range(3)]
+    assert {tuple(r) for r in topk.search(spark.createDataFrame(empty, schema), F.lit(True), 1).collect()} == brute_topk(empty, lambda i: True, 1)
+
+
+def test_topk_of_huge_components(spark):
+    rows = [(0, [1e30, -1e30]), (1, [1e30, 1e20]), (2, [-3e38, 1.0]), (3, [1.0, 1.0]), (4, [1e12, 1e12])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {tuple(r) for r in topk.search(df, F.lit(True), 9).collect()} == brute_topk(rows, lambda i: True, 9)
+
+
+def test_bounds_spare_exact_scores(spark):
+    """On clustered vectors fewer than a tenth of all pairs are scored."""
+    r = np.random.default_rng(8)
+    v = r.normal(0, 1, (40, 64))[r.integers(0, 40, 3000)] + r.normal(0, 0.2, (3000, 64))
+    rows = [(k, [float(x) for x in v[k]]) for k in range(3000)]
+    pairs, exact = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    got = {tuple(x) for x in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 30 == 0, 10, (pairs, exact)).collect()}
+    assert got == brute_topk(rows, lambda i: i % 30 == 0, 10)
+    assert pairs.value == 100 * 2999 and 1000 <= exact.value < pairs.value / 10
 
 
 def test_bounds_hold():
     r = np.random.default_rng(6)
     a, b = r.normal(0, 300, (40, 64)), r.normal(50, 300, (60, 64))
     exact = a @ b.T
-    bounds = [x @ y.T for x, y in zip(topk._features(a), topk._features(b), strict=True)]
+    ours, theirs = topk._features(a), topk._features(b, ours=False)
+    bounds = [ours[s] @ theirs[s].T for s in ours]
     for bound in bounds:
         assert (bound >= exact - 1e-6).all()
     assert bounds[0].mean() > bounds[1].mean() > bounds[2].mean()
