@@ -8,10 +8,10 @@ is without. A fingerprint has two independent hashes, of the anchor's words (fp)
 windows.
 
 The index holds immutable runs. A run has two tables, each bucketed and sorted by its key: heads, one row for each fp with its
-first class, and cells, all classes of the fps that have several, an fp of many classes spread over several cells. So no key has
-more than a bounded number of rows, however often a passage comes. A batch takes these steps:
+class, if it has one only, and cells, all classes of the fps that have several, an fp of many classes spread over several cells.
+So no key has more than a bounded number of rows, however often a passage comes. A batch takes these steps:
 
-1. Its fingerprints are counted by class, with partial sums before the shuffle, and written as a run.
+1. Its fingerprints are counted by fp, with partial sums before the shuffle, and written as a run.
 2. The run's heads are merge-joined with those of every older run (all are bucketed and sorted alike, so nothing is shuffled).
    An fp seen once has no twin and goes; of the others the classes are fetched, by merge joins with the cells.
 3. A class seen more than once has twins for all its windows, in the batch and, where the class was alone so far, in the history.
@@ -35,7 +35,7 @@ from .shared import HOT_KEYS, fresh_path, keyed_join, shuffle_partitions, writte
 
 WINDOW, GRAM = 35, 8
 #: Runs of a level that are compacted; classes of an fp in one cell, about.
-FAN, CELL = 2, 1000
+FAN, CELL = 4, 1000
 #: Texts are cut into parts of so many words that overlap by WINDOW - 1; a place within one fits into the key below.
 PART = 1 << 19
 _LOW = np.uint64((1 << 20) - 1)
@@ -112,10 +112,6 @@ def _cell(parts: Column) -> Column:
     return F.xxhash64("fp", F.pmod("area", parts))
 
 
-def _pieces(parts: str = "parts") -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(parts) - 1)).alias("area")
-
-
 class FingerprintIndex:
     """The runs, as tables in the session's shared folder; see the module's text. A new index is empty."""
 
@@ -129,30 +125,36 @@ class FingerprintIndex:
     def _save(self, df: DataFrame, name: str, key: str) -> None:
         df.write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
 
-    def _run(self, classes: DataFrame, level: int) -> str:
-        """Writes classes (fp, area, n, place) as a run. No class comes twice."""
+    def _run(self, rows: DataFrame, total: int, level: int) -> str:
+        """Writes rows (fp, area, n, place), of which there are total, as a run. Rows with both hashes equal add up."""
         name = f"fingerprints_{uuid.uuid4().hex}"
+        heads = rows.groupBy("fp").agg(F.sum("n").alias("n"), F.min("area").alias("area"), F.max("area").alias("last"), *_first())
+        self._save(heads, f"{name}_heads", "fp")
+        several = self.spark.table(f"{name}_heads").filter("area < last").select("fp", F.col("n").alias("rows"))
+        classes = keyed_join(rows, several, ["fp"], total, "rows").groupBy("fp", "area").agg(F.sum("n").alias("n"), *_first())
+        classes = written(classes, "fingerprint-classes")
         # Of fps with very many classes there are HOT_KEYS at most; they are spread over several cells.
         parts = F.ceil(F.count(F.lit(1)) / max(CELL, classes.count() // HOT_KEYS)).alias("parts")
-        heads = classes.groupBy("fp").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes"), parts, F.min("area").alias("area"), F.max("area").alias("last"), *_first())
-        self._save(heads, f"{name}_heads", "fp")
-        heads = self.spark.table(f"{name}_heads")
-        cells = classes.join(F.broadcast(heads.filter("parts > 1").select("fp", "parts")), "fp", "left").withColumn("cell", _cell(F.coalesce("parts", F.lit(1))))
-        wanted = heads.filter("classes > 1").select("fp", _pieces(), "parts").select(_cell(F.col("parts")).alias("cell")).distinct()
-        self._save(cells.join(wanted, "cell", "left_semi").select("cell", "fp", "area", "n", *PLACE), f"{name}_cells", "cell")
+        wide = classes.groupBy("fp").agg(parts).filter("parts > 1")
+        wide.write.option("path", f"{self.path}/{name}_wide").saveAsTable(f"{name}_wide")
+        cells = classes.join(F.broadcast(self.spark.table(f"{name}_wide")), "fp", "left").withColumn("cell", _cell(F.coalesce("parts", F.lit(1))))
+        self._save(cells.select("cell", "fp", "area", "n", *PLACE), f"{name}_cells", "cell")
         self.runs.append((level, name))
         return name
 
     def _classes(self, name: str, heads: DataFrame) -> DataFrame:
         """fp, area, n, place and mixed of the classes of a run whose fps are in heads (the run's, with the column mixed)."""
-        alone = heads.filter("classes = 1").select("fp", "area", "n", *PLACE, "mixed")
-        several = heads.filter("classes > 1").select("fp", "mixed", _pieces(), "parts").select(_cell(F.col("parts")).alias("cell"), F.col("fp").alias("of"), "mixed")
+        alone = heads.filter("area = last").select("fp", "area", "n", *PLACE, "mixed")
+        wide = F.broadcast(self.spark.table(f"{name}_wide"))
+        several = heads.filter("area < last").select("fp", "mixed").join(wide, "fp", "left").withColumn("parts", F.coalesce("parts", F.lit(1).cast("long")))
+        several = several.select("fp", "mixed", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("area"))
+        several = several.select(_cell(F.col("parts")).alias("cell"), F.col("fp").alias("of"), "mixed")
         found = self.spark.table(f"{name}_cells").join(several, "cell").filter("fp = of")
         return alone.unionByName(found.select("fp", "area", "n", *PLACE, "mixed"))
 
     def _drop(self, name: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        for table in (f"{name}_heads", f"{name}_cells"):
+        for table in (f"{name}_heads", f"{name}_cells", f"{name}_wide"):
             self.spark.sql(f"DROP TABLE {table}")
             where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
             where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -163,9 +165,8 @@ class FingerprintIndex:
         fp, area, n (fingerprints of the batch and the history), own (of the batch), place (one of the batch's, null without
         one), OLD (one of the history's) and mixed (has fp several areas?).
         """
-        classes = written(members.groupBy("fp", "area").agg(F.count(F.lit(1)).alias("n"), *_first()), "fingerprint-classes")
         older = [name for _, name in self.runs]
-        name = self._run(classes, 0)
+        name = self._run(members.withColumn("n", F.lit(1).cast("long")), members.count(), 0)
         mine = self.spark.table(f"{name}_heads")
         known = mine.select("fp", "n", F.col("area").alias("low"), F.col("last").alias("high"))
         for other in older:
@@ -195,9 +196,8 @@ class FingerprintIndex:
             both = every[0]
             for other in every[1:]:
                 both = both.unionByName(other)
-            merged = written(both.groupBy("fp", "area").agg(F.sum("n").alias("n"), *_first()), "fingerprint-classes")
             self.runs = [r for r in self.runs if r[0] != level]
-            self._run(merged, level + 1)
+            self._run(both.drop("mixed"), both.count(), level + 1)
             for name in old:
                 self._drop(name)
 
