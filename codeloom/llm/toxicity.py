@@ -130,11 +130,14 @@ class Model:
                 # What the odds of the other texts differ by from those of all.
                 other = _odds(bad[flat] - y, good[flat] - (1 - y) * (labels.sum() / (1 - labels).sum())) - first[flat]
                 other = np.where(flat > 0, other, 0.0).sum(axis=1).astype(np.float32)
-                # Words with the same slots are one type, whose sums are computed once a step.
-                key = words.mix(flat.astype(np.uint64) @ (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, PARTS + 1, dtype=np.uint64)))
-                _, one, kind = np.unique(key, return_index=True, return_inverse=True)
-                chunks.append((np.array(numbers), flat, flat[one], kind, other, np.append(0, np.cumsum(sizes)[:-1]), np.repeat(np.arange(len(sizes)), sizes)))
+                chunks.append((np.array(numbers), flat, other, np.append(0, np.cumsum(sizes)[:-1]), np.repeat(np.arange(len(sizes)), sizes)))
                 texts = []
+        # Words with the same slots are one type, whose sums are computed once a step.
+        every = np.concatenate([c[1] for c in chunks])
+        key = words.mix(every.astype(np.uint64) @ (np.uint64(0x9E3779B97F4A7C15) ** np.arange(1, PARTS + 1, dtype=np.uint64)))
+        _, one, kind = np.unique(key, return_index=True, return_inverse=True)
+        types, ends = every[one], np.cumsum([len(c[1]) for c in chunks])
+        chunks = [(*c, k) for c, k in zip(chunks, np.split(kind.astype(np.int32), ends[:-1]), strict=True)]
         weight = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
         start = self.embedding.astype(np.float64)
         params = [start.copy(), *self.filters, self.bias, self.out, np.array([self.constant])]
@@ -143,15 +146,15 @@ class Model:
         for step in range(1, ROUNDS + 1):
             table, filters, bias, out, constant = params[0], params[1:-3], params[-3], params[-2], params[-1]
             slopes = [DECAY * (table - start) / len(table), *(np.zeros_like(f) for f in filters), np.zeros_like(bias), 1e-4 * out, np.zeros(1)]
-            lots = [[(table @ f[o]).astype(np.float32) for o in range(len(f))] for f in filters]
+            lots = [[sum((table @ f[o]).astype(np.float32)[types[:, k]] for k in range(PARTS)) for o in range(len(f))] for f in filters]
             pulled, pulls = [], []  # rows of the table and their slopes
-            for numbers, flat, types, kind, other, begin, owner in chunks:
+            for numbers, flat, other, begin, owner, kind in chunks:
                 places, tops = [], []
                 for f, lot in zip(filters, lots, strict=True):
                     n = len(flat) - len(f) + 1
                     total = np.zeros((n, FILTERS), np.float32)
                     for o in range(len(f)):
-                        total += sum(lot[o][types[:, k]] for k in range(PARTS))[kind[o : n + o]]
+                        total += lot[o][kind[o : n + o]]
                         total += other[o : n + o, None] * f[o][0].astype(np.float32)
                     top = np.maximum.reduceat(total, begin, axis=0)
                     at, which = np.nonzero(total == top[owner[:n]])

@@ -76,10 +76,33 @@ def test_features_of_windows_number_equal_shingles():
 def test_blocks_find_all_within_the_radius():
     r = np.random.default_rng(4)
     m = decontaminate.Matcher([k for k in range(300)], [f"w{k} x{k} y{k} z{k} q{k}" for k in range(300)])
-    prints = m.prints[:50] ^ np.array([int(sum(1 << int(b) for b in r.choice(64, n, replace=False))) for n in r.integers(0, 40, 50)], np.uint64)
+    own, theirs, _ = m.tables[5]
+    flips = np.zeros((50, decontaminate.BITS), np.uint8)
+    for k, n in enumerate(r.integers(0, 2 * decontaminate.RADIUS, 50)):
+        flips[k, r.choice(decontaminate.BITS, n, replace=False)] = 1
+    prints = theirs[:50] ^ np.packbits(flips, axis=1)
     w, i = m._within(prints, 5)
-    want = {(a, b) for a in range(50) for b in range(300) if bin(int(prints[a] ^ m.prints[b])).count("1") <= decontaminate.RADIUS}
-    assert set(zip(w.tolist(), i.tolist(), strict=True)) == want
+    apart = np.unpackbits(prints[:, None] ^ theirs[None], axis=2).sum(axis=2)
+    assert set(zip(w.tolist(), i.tolist(), strict=True)) == {(a, own[b]) for a, b in zip(*np.nonzero(apart <= decontaminate.RADIUS), strict=True)}
+    # Of pairs further apart few pass the bytes.
+    agree = sum(m.tables[5][2][b][prints[:, b]].astype(int) for b in range(decontaminate.BYTES)) >= decontaminate.AGREE
+    assert agree[apart <= decontaminate.RADIUS].all() and agree[apart > 100].mean() < 0.03
+
+
+def test_decontamination_of_very_long_texts(prose):
+    """Memory grows with the words of a text, not with words times those of an item."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    item = prose(1, 2000, 3)
+    m = decontaminate.Matcher([0], [" ".join(item)])
+    text = " ".join((item * 60)[:100_000])
+    tracemalloc.start()
+    got = list(m.match(pa.array([text])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [(0, 0, 0, 1.0)] and peak < 200e6
 
 
 BAD = {"en": ["idiotic", "scummy", "vile"], "fr": ["vilaino", "vilaine", "vilaint"]}
