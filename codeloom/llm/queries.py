@@ -129,13 +129,38 @@ held AS (SELECT x.doc_id, x.license, x.start, count(DISTINCT g)::DOUBLE / x.n AS
 SELECT doc_id, license, start, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS r FROM held WHERE containment >= {license_scan.CONTAINED}) WHERE r = 1"""
 
 
+def _sql_op5(levels: int = 8) -> str:
+    """The tree by lists and windows, unrolled for paths of so many segments (the first, before the leading slash, counts)."""
+    R = url_filter
+    fits = {r: f"(host = '{r.partition('/')[0]}' OR ends_with(host, '.{r.partition('/')[0]}')) AND starts_with(path, '/{r.partition('/')[2]}')" for _, r in R.RULES}
+    rules = " UNION ALL ".join(f"SELECT *, '{r}' AS rule, '{v}' AS label FROM page WHERE {fits[r]}" for v, r in R.RULES)
+    out = f"""WITH page AS MATERIALIZED (SELECT page_id, translate(string_split_regex(u, '[/?#]')[1], '{R.UPPER}', '{R.LOWER}') AS host, regexp_extract(u, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN url[strpos(url, '://') + 3:] ELSE '' END AS u FROM pages)),
+fit AS (SELECT page_id, arg_max(rule, len(rule)) AS rule, arg_max(label, len(rule)) AS label FROM ({rules}) GROUP BY page_id),
+judged AS MATERIALIZED (SELECT page.*, rule, label, regexp_replace(path, '[0-9]+', '#', 'g') AS shape FROM page LEFT JOIN fit USING (page_id)),
+x0 AS MATERIALIZED (SELECT host, shape, string_split(shape, '/') AS seg, '' AS t, count(*) AS n, count(label) AS known, count(*) FILTER (label = 'block') AS bad FROM judged GROUP BY host, shape),"""
+    for k in range(levels):
+        out += f"""
+a{k} AS (SELECT *, seg[{k + 1}] AS s, array_to_string(list_transform(seg[{k + 2}:], lambda z: '/' || z), '') AS rest, sum(n) OVER (PARTITION BY host, t) AS total, sum(n) OVER (PARTITION BY host, t, seg[{k + 1}]) AS own FROM x{k} WHERE len(seg) > {k}),
+b{k} AS MATERIALIZED (SELECT *, CASE WHEN count(DISTINCT s) OVER (PARTITION BY host, t) > {R.MANY} AND own * {R.SHARE} < total THEN '*' ELSE s END AS g FROM a{k}),
+d{k} AS MATERIALIZED (SELECT host, t, g, sum(n)::DOUBLE AS n, sum(known)::DOUBLE AS known, sum(bad)::DOUBLE AS bad FROM b{k} GROUP BY ALL),
+f{k} AS MATERIALIZED (SELECT host, t, g, rest, sum(l.n) / any_value(d{k}.n) AS p FROM b{k} l JOIN d{k} USING (host, t, g) GROUP BY ALL),
+o{k} AS (SELECT y.host, y.t, y.g AS big, z.g AS small, sum(least(y.p, z.p)) AS common FROM f{k} y JOIN f{k} z ON y.host = z.host AND y.t = z.t AND y.rest = z.rest GROUP BY ALL),
+s{k} AS MATERIALIZED (SELECT o.host, o.t, big, small, y.n FROM o{k} o JOIN d{k} y ON y.host = o.host AND y.t = o.t AND y.g = big JOIN d{k} z ON z.host = o.host AND z.t = o.t AND z.g = small
+  WHERE common >= {R.LIKE} - 1e-9 AND (y.n, small) > (z.n, big) AND (y.bad * z.known - z.bad * y.known) ** 2 * (y.known + z.known) <= 4 * (y.bad + z.bad) * (y.known + z.known - y.bad - z.bad) * y.known * z.known),
+j{k} AS (SELECT host, t, small AS g, first(big ORDER BY n DESC, big) AS into_ FROM s{k} l WHERE NOT EXISTS (SELECT 1 FROM s{k} r WHERE r.host = l.host AND r.t = l.t AND r.small = l.big) GROUP BY ALL),
+x{k + 1} AS MATERIALIZED (SELECT host, shape, seg, t || '/' || coalesce(into_, g) AS t, n, known, bad FROM b{k} LEFT JOIN j{k} USING (host, t, g) UNION ALL SELECT * FROM x{k} WHERE len(seg) <= {k}),"""
+    return out + f"""
+verdict AS (SELECT host, shape, CASE WHEN sum(bad) OVER w + {R.SMOOTH}e0 / 2 >= {R.PURITY}e0 * (sum(known) OVER w + {R.SMOOTH}e0) THEN 'block' ELSE 'allow' END AS v FROM x{levels} WINDOW w AS (PARTITION BY host, t))
+SELECT page_id, judged.host, path, rule, coalesce(label, v) AS verdict FROM judged JOIN verdict ON verdict.host = judged.host AND verdict.shape = judged.shape"""
+
+
 def oracle_sql() -> dict[str, str]:
     owners = sharding.fill_table([f"shard-{k}" for k in range(64)], 16381).tolist()
     return {
         "op1_substring_dedup": _SQL_OP1,
         "op2_topk": _SQL_OP2,
         "op4_decontamination": _SQL_OP4,
-        "op5_url_filter": url_filter.sql(),
+        "op5_url_filter": _sql_op5(),
         "op6_near_dedup": _SQL_OP6,
         "op9_license_scan": _sql_op9(),
         "op7_sharding": f"""SELECT doc_id, CAST(({owners})[1 + ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT % 16381] AS INTEGER) AS shard FROM documents""",

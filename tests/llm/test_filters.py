@@ -184,8 +184,14 @@ def test_url_templates_learn_from_rules(spark):
     got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert {got[k].verdict for k in range(1000, 1010)} == {"block"} and {got[k].rule for k in range(1000, 1010)} == {None}
     assert {got[k].verdict for k in range(2000, 2300)} == {"allow"} and len(got) == len(rows)
-    with pytest.raises(ValueError):
-        url_filter.steps((("block", "a_b/"),))
+
+
+def test_url_templates_of_any_depth(spark):
+    """A blocked section and one like it, five segments down, beside one of another structure."""
+    rows = [f"http://h.com/en/{k}/a/b/{k}.html" for k in range(100)] + [f"http://h.com/fr/{k}/a/b/{k}.html" for k in range(40)]
+    rows += [f"http://h.com/about/{'abcdefgh'[k % 8]}" for k in range(40)] + ["http://h.com" + "/x" * 12] + [f"http://h.com/fr/{k}/a/c/{k}.html" for k in range(3)]
+    got = {r.page_id: r.verdict for r in url_filter.judge(spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")).collect()}
+    assert {got[k] for k in range(140)} == {"block"} and {got[k] for k in range(140, 181)} == {"allow"}
 
 
 def test_url_templates_are_judged_on_their_labels(spark):
