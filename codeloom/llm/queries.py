@@ -122,10 +122,10 @@ def _sql_op9() -> str:
         parts.append(f"SELECT '{name}' AS license, {size} AS size, {step} AS step, {want!r} AS wanted")
     return f"""WITH doc AS MATERIALIZED (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), ' ') AS w FROM documents WHERE text IS NOT NULL),
 template AS MATERIALIZED ({' UNION ALL '.join(parts)}),
-gram AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM doc)),
-hit AS MATERIALIZED (SELECT DISTINCT doc_id, license, size, step, len(wanted) AS n, p, g FROM gram JOIN (SELECT *, unnest(wanted) AS g FROM template) USING (g)),
-place AS (SELECT DISTINCT doc_id, license, size, step, n, unnest(range(greatest(0, CAST(ceil((p - size + 5) / step) AS BIGINT)), p // step + 1)) * step AS start FROM hit),
-held AS (SELECT x.doc_id, x.license, x.start, count(DISTINCT g)::DOUBLE / x.n AS containment FROM place x JOIN hit h ON h.doc_id = x.doc_id AND h.license = x.license AND h.p >= x.start AND h.p + 5 <= x.start + x.size GROUP BY x.doc_id, x.license, x.start, x.n)
+gram AS (SELECT doc_id, s, p, array_to_string(w[p + 1:p + s], ' ') AS g FROM (SELECT doc_id, w, s, unnest(range(0, len(w) - s + 1)) AS p FROM doc, (SELECT DISTINCT least(5, size - 1) AS s FROM template))),
+hit AS MATERIALIZED (SELECT DISTINCT doc_id, license, size, step, s, len(wanted) AS n, p, g FROM gram JOIN (SELECT *, least(5, size - 1) AS s, unnest(wanted) AS g FROM template) USING (s, g)),
+place AS (SELECT DISTINCT doc_id, license, size, step, n, unnest(range(greatest(0, CAST(ceil((p - size + s) / step) AS BIGINT)), p // step + 1)) * step AS start FROM hit),
+held AS (SELECT x.doc_id, x.license, x.start, count(DISTINCT g)::DOUBLE / x.n AS containment FROM place x JOIN hit h ON h.doc_id = x.doc_id AND h.license = x.license AND h.p >= x.start AND h.p + s <= x.start + x.size GROUP BY x.doc_id, x.license, x.start, x.n)
 SELECT doc_id, license, start, containment FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, start) AS r FROM held WHERE containment >= {license_scan.CONTAINED}) WHERE r = 1"""
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free_names
+
 #: A larger table isn't broadcast; at 8 bytes a slot this is 8 MB.
 MAX_SLOTS = 1 << 20
 
@@ -51,10 +53,13 @@ def slot_of(key: Column, slots: int) -> Column:
 def shard(df: DataFrame, key: str = "doc_id", shards: int = 64, slots: int = 16381, out: str = "shard") -> DataFrame:
     """df with a column of the shard's number.
 
-    Null keys share one slot; rows with equal keys, repeated ones too, share a shard. Empty tables stay empty. Other columns
-    pass, but for columns named as out, which is replaced.
+    Null keys share one slot; rows with equal keys, repeated ones too, share a shard, so that ties can't arise. Empty tables stay
+    empty, and texts of any length pass untouched. All other columns pass, whatever their names, but for columns named as out,
+    which are replaced.
     """
-    table = pd.DataFrame({"__slot": np.arange(slots, dtype=np.int64), "__shard": fill_table([f"shard-{k}" for k in range(shards)], slots)})
-    placed = df.withColumn("__slot", slot_of(F.col(key), slots))
-    placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(table, "__slot long, __shard int")), "__slot", "left")
-    return placed.withColumn(out, F.col("__shard")).drop("__slot", "__shard")
+    slot, owner = free_names(df, "slot", "owner")
+    table = pd.DataFrame({slot: np.arange(slots, dtype=np.int64), owner: fill_table([f"shard-{k}" for k in range(shards)], slots)})
+    kept = [df[c] for c in df.columns if c.lower() != out.lower()]
+    placed = df.select(*kept, slot_of(df[key], slots).alias(slot))
+    placed = placed.join(F.broadcast(df.sparkSession.createDataFrame(table, f"{slot} long, {owner} int")), slot, "left")
+    return placed.withColumnRenamed(owner, out).drop(slot).select(*(c for c in df.columns if c.lower() != out.lower()), out)

@@ -115,3 +115,14 @@ def n_words(text: str = "text"):
     """Number of words between ASCII white space in a text column, natively; 0 for null."""
     plain = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " ")
     return F.size(F.array_remove(F.split(plain, " "), "")).cast("long")
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """names, with lines under them until df has no such column, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out

@@ -9,8 +9,9 @@ A payload is a flag byte (1: doc_id is null, 2: ids take four bytes, else two),
 ascending doc_id order, within and among each other. The index, a Parquet table beside them, has for each record its file's
 number, offset, length, doc_id, number of ids, and place among the ids of its file: shuffled reads fetch by offset.
 
-Files are written and committed by Spark's text writer, a frame a row and 0x0A as line separator, so they can lie in any store
-that Spark reaches, and a retried task leaves no halves.
+Files are written and committed by Spark's text writer, with 0x0A as line separator, so they can lie in any store that Spark
+reaches, and a retried task leaves no halves. A row of the writer holds frames of ROW_BYTES about, or one that is longer, and a
+file holds FILE_ROWS of them at most, so files are of bounded size even where long texts follow one another.
 """
 
 from __future__ import annotations
@@ -23,14 +24,15 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words
 from .shared import fresh_path, shuffle_partitions
 
-#: Text that goes into one file, about; a reader holds a file.
+#: Text that goes into one task, about; a reader holds a file.
 FILE_BYTES = 32 << 20
+ROW_BYTES, FILE_ROWS = 1 << 20, 32
 #: Words whose ids a worker remembers, some 40 bytes each.
 REMEMBERED = 1_500_000
 
@@ -84,18 +86,25 @@ def record_at(data: bytes, at: int) -> tuple[int | None, np.ndarray]:
 
 
 class Encoder:
-    """Texts to ids. For vocabularies whose words never cross ASCII white space, which they drop: words are encoded once.
+    """Texts to ids.
 
-    A word is known by 64 bits of hash and its length, in an open table of 16-bit or wider ids; the table starts anew when it
-    is full.
+    Where the tokenizer's words never cross ASCII white space, which it drops, each word is encoded once: it is known by 64 bits
+    of hash and its length, in an open table that starts anew when it is full. Whether that is so is tried on PROBES; other
+    tokenizers encode whole texts.
     """
 
+    #: Joined by white space of all kinds, these must encode to what they do alone.
+    PROBES = ("Hello", "world!", "it's", "a_b", "x.y", "ÀÉ", "e\u0301", "1234", "...", "日本語", "<s>", "in", "to", "into", "##a", "\u2581b", "the", "é")
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.mask = np.uint64((1 << (4 * REMEMBERED // 3 - 1).bit_length()) - 1)
         self._clear()
+        whole = lambda x: self.library.encode(x, add_special_tokens=False).ids
+        alone = [i for w in self.PROBES for i in whole(w)]
+        self.by_word = all(whole(a + gap.join(self.PROBES) + a) == alone for gap in (" ", "  ", "\n", "\t", "\r\n", " \x0b\x0c") for a in ("", gap))
 
     def _clear(self) -> None:
         size = int(self.mask) + 1
@@ -141,6 +150,10 @@ class Encoder:
     def encode(self, column: pa.Array, end: int | None) -> Iterator[np.ndarray]:
         """The ids of each text in turn."""
         tail = np.array([] if end is None else [end], np.uint32)
+        if not self.by_word:
+            for text in column:
+                yield np.append(np.array(self.library.encode(text.as_py() or "", add_special_tokens=False).ids, np.uint32), tail)
+            return
         held: list[np.ndarray] = []
         now = 0
         for first, h, begin, stop, at, data in words.located(column):
@@ -181,31 +194,57 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _rows(frames: Iterator[bytes]) -> Iterator[bytes]:
+    """Frames as the writer's rows, each without its last 0x0A."""
+    held, size = [], 0
+    for one in frames:
+        if held and size + len(one) > ROW_BYTES:
+            yield b"\n".join(held)
+            held, size = [], 0
+        held.append(one)
+        size += len(one)
+    if held:
+        yield b"\n".join(held)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, end: int | None = 1) -> None:
     """Encodes docs (doc_id, text) with a tokenizer file of the tokenizers library and writes path/data and path/index.
 
-    tokenizer is a path on every machine. end is appended to each document. Null texts are empty; null doc_ids come first;
-    rows that repeat a doc_id are records of their own. Other columns don't matter.
+    tokenizer is a path on every machine. end is appended to each document. Null and empty texts have no ids but that; null
+    doc_ids come first; rows that repeat a doc_id are records of their own, in the order of a hash of their texts. Texts of any
+    length are one record. An empty table gives no records. Other columns don't matter.
     """
     spark = docs.sparkSession
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    files = max(shuffle_partitions(spark), -(-size // FILE_BYTES))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    tasks = max(shuffle_partitions(spark), -(-size // FILE_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # both, so that no doc_id holds a range up
+    rows = rows.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids = own.encode(part.column("text"), end)
-                yield pa.RecordBatch.from_arrays([pa.array([frame(pack(d, i)) for d, i in zip(part.column("doc_id").to_pylist(), ids, strict=True)], pa.binary())], ["value"])
 
-    rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\n").text(f"{path}/data")
+        def frames() -> Iterator[bytes]:
+            for batch in batches:
+                for k in range(0, batch.num_rows, 1000):
+                    part = batch.slice(k, 1000)
+                    for d, i in zip(part.column("doc_id").to_pylist(), own.encode(part.column("text"), end), strict=True):
+                        yield frame(pack(d, i))
+
+        for row in _rows(frames()):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["value"])
+
+    out = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
+    out.write.option("lineSep", "\n").option("maxRecordsPerFile", FILE_ROWS).text(f"{path}/data")
     _index(spark, path).write.parquet(f"{path}/index")
 
 
+def _number() -> Column:
+    """A file's number, in the order of files: its task's and which of the task's files it is."""
+    part = lambda k: F.regexp_extract("path", r"part-(\d+)-[^/]*-c(\d+)[^/]*$", k).cast("long")
+    return (part(1) * (1 << 24) + part(2)).alias("file")
+
+
 def _index(spark: SparkSession, path: str) -> DataFrame:
     """Every record's place, from the data files themselves; checks all checksums."""
     names = ["file", "offset", "length", "doc_id", "n_tokens", "before", "ids_crc32"]
@@ -223,20 +262,21 @@ def _index(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-    number = F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("file")
-    return files.select(number, "content").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return files.select(_number(), "content").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all records before), n_tokens, ids_crc32, file, offset, length of every record."""
+    """doc_id, start (ids of all records before), n_tokens, ids_crc32, file, offset, length of every record.
+
+    The files' sums run within the files of a task, and over tasks in one window, which has a row for each.
+    """
     index = spark.read.parquet(f"{path}/index")
-    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).orderBy("file").collect()  # a row a file
-    base, starts = 0, []
-    for r in totals:
-        starts.append((r["file"], base))
-        base += r["total"]
-    first = spark.createDataFrame(starts, "file long, base long")
-    return index.join(F.broadcast(first), "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
+    totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total")).withColumn("task", F.shiftright("file", 24))
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = totals.groupBy("task").agg(F.sum("total").alias("total")).select("task", before(Window.orderBy("task")).alias("base"))
+    inside = totals.select("file", "task", before(Window.partitionBy("task").orderBy("file")).alias("inside"))
+    first = inside.join(tasks, "task").select("file", (F.col("base") + F.col("inside")).alias("base"))
+    return index.join(first, "file").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
 def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
@@ -250,7 +290,7 @@ def fetch(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([i.tolist() for _, i in got], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/data")
-    files = files.select(F.regexp_extract("path", r"part-(\d+)[^/]*$", 1).cast("long").alias("file"), "content")
+    files = files.select(_number(), "content")
     per_file = wanted.groupBy("file").agg(F.collect_list("offset").alias("offsets"))
     return files.join(per_file, "file").select("content", "offsets").mapInArrow(run, "doc_id long, ids array<long>")
 

@@ -215,6 +215,16 @@ def test_license_scan(docs, spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_license_scan_of_long_texts(docs, monkeypatch):
+    """Parts are cut anywhere; a text full of anchors; the shortest templates."""
+    rows = [(1, "license " * 30_000 + "SPDX-License-Identifier: MIT"), (2, " ".join(f"w{k}" for k in range(9000)) + " " + license_scan.TEMPLATES[12][1]), (3, "spdx license identifier gpl 3 0 or later")]
+    want = {(1, "SPDX-MIT"), (2, "BSD-2-Clause-conditions"), (3, "SPDX-GPL-3.0-or-later")}
+    for part in (4096, 7):
+        monkeypatch.setattr(license_scan, "PART", part)
+        got = license_scan.scan(docs(rows if part > 7 else [(d, " ".join(t.split()[-80:])) for d, t in rows])).collect()
+        assert want <= {(r.doc_id, r.license) for r in got} and all(r.containment >= 0.8 for r in got)
+
+
 def test_license_anchors_lose_nothing():
     for _, text in license_scan.TEMPLATES:
         w = license_scan._words(text)

@@ -246,6 +246,12 @@ def test_shard(spark):
     assert rows[2, ""] == table[int(hashlib.md5(b"2").hexdigest()[:15], 16) % 101]
 
 
+def test_shard_of_clashing_names(spark):
+    df = spark.createDataFrame([(k, k, "a", "b", "c") for k in range(9)], "doc_id long, slot long, Owner string, __shard string, __slot string")
+    got = sharding.shard(df, shards=5, slots=101)
+    assert got.columns == [*df.columns, "shard"] and {tuple(r)[:5] for r in got.collect()} == {tuple(r) for r in df.collect()}
+
+
 # ---- token records
 
 P = pytest.importorskip("public_tokenizers")
@@ -272,7 +278,9 @@ def test_frames():
 TEXTS = ["Hello, World! it's fine", None, "", " \n", "é É ÀÉ ß ẞ İ naïve n\u0303 日本語 текст", "a<|endoftext|>b <|startoftext|>", "x\u00a0y\u2003z\x1cq\x85w", "1234 12ab3 :-) ... 's 't", "word " * 9000, "long" * 9000, "\ufeffq a\u0301 \u0301b", "Hello, World! it's fine"]
 
 
-def test_round_trip(spark):
+def test_round_trip(spark, monkeypatch):
+    monkeypatch.setattr(token_records, "ROW_BYTES", 100)
+    monkeypatch.setattr(token_records, "FILE_ROWS", 2)
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(PATH)
@@ -291,6 +299,21 @@ def test_round_trip(spark):
     assert sorted(((r.doc_id, r.ids) for r in token_records.fetch(spark, path, wanted).collect()), key=str) == sorted(((d, ids[d]) for d, _, _ in rows if d is None or d > 30), key=str)
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """One that keeps white space."""
+    import json
+
+    import pyarrow as pa
+
+    rules = json.load(open(PATH))
+    rules["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    e = token_records.Encoder(str(tmp_path / "t.json"))
+    texts = ["Hello  world", None, "a b\nc"]
+    assert not e.by_word and token_records.Encoder(PATH).by_word
+    assert [x.tolist() for x in e.encode(pa.array(texts), 1)] == [[*e.library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_no_records(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_records.export(none, PATH).count() == 0
