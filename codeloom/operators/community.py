@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.runtime import cut
 
-#: Graphs with so many weighted pairs at most are solved in one task, node by node; larger ones in parallel sweeps.
-ONE_TASK_PAIRS = 500_000
-SWEEPS, LEVELS = 6, 10
+#: Gains, in units of weight, that are no more than rounding.
+NOTHING = 1e-9
+#: Pairs up to which the turns of a level run in one task, some 200 bytes each; beyond, as joins. Both take the same turns.
+ONE_TASK_PAIRS = 2_000_000
 
 
 def cluster_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,105 +34,167 @@ def weighted_degrees(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("uid").agg(F.sum("w").alias("degree"))
 
 
-def _solve(pairs: list[tuple[str, str, float]], resolution: float) -> dict[str, str]:
-    """Least member of each node's community. Repeats one sweep of greedy moves, then contraction, until nothing moves.
-
-    A node goes where its gain, resolution * k_in / W - degree of the community * own degree / (2 W^2), is largest and over
-    zero; ties go to the community whose least member is least. Nodes take turns in order of their names.
+#: Checksums of names of one length differ in the same bits each turn; the carries of a product make them differ.
+_SPREAD = 0x45D9F3B
+
+
+def _coin(name: str, tail: str):
+    """Bits that depend on a name and a tail."""
+    return F.shiftright(F.crc32(F.concat(F.col(name), F.lit(tail)).cast("binary")) * F.lit(_SPREAD), 20)
+
+
+def _turns(pairs: pd.DataFrame, home: pd.DataFrame, resolution: float) -> pd.DataFrame:
+    """_settle() for a level that fits a task: a, c. Both follow the same rules, so they give the same."""
+    names, ends = np.unique(np.concatenate([home["a"].to_numpy(str), home["c"].to_numpy(str)]), return_inverse=True)
+    nodes, c = ends[: len(home)], ends[len(home) :].copy()
+    place = np.full(len(names), -1)
+    place[nodes] = np.arange(len(nodes))
+    a, b = (place[np.searchsorted(names, pairs[k].to_numpy(str))] for k in ("a", "b"))
+    w = pairs["w"].to_numpy(float)
+    d = np.round(np.bincount(a, w, len(nodes)) + np.bincount(b, w, len(nodes)), 9)
+    weight, real = d.sum() / 2, a != b
+    x, y, w = np.concatenate([a[real], b[real]]), np.concatenate([b[real], a[real]]), np.concatenate([w[real]] * 2)
+    coin = lambda of, tail: np.array([zlib.crc32(f"{n}{tail}".encode()) * _SPREAD >> 20 for n in names[of]], np.int64)
+    turn, thin = 0, 0
+    while weight > 0:
+        mass = np.round(np.bincount(c, d, len(names)), 9)
+        key, where = np.unique(x * np.int64(len(names)) + c[y], return_inverse=True)
+        k = np.round(np.bincount(where, w, len(key)), 9)
+        node, to = key // len(names), key % len(names)
+        own = to == c[node]
+        fit = np.round(resolution * k - (mass[to] - np.where(own, d[node], 0.0)) * d[node] / (2 * weight), 9)
+        stay = np.round(-(mass[c] - d) * d / (2 * weight), 9)
+        stay[node[own]] = fit[own]
+        gains = ~own & (fit - stay[node] > NOTHING)
+        left = len(np.unique(node[gains]))
+        if not left:
+            break
+        takes_part = (coin(np.arange(len(names)), f"|{turn}") & 1).astype(bool)  # a community that receives
+        asks = gains & takes_part[to] & ~takes_part[c[node]]
+        asks[asks] = (coin(nodes[node[asks]], f"#{turn}") & ((1 << thin) - 1)) == 0
+        node, to, fit = node[asks], to[asks], fit[asks]
+        order = np.lexsort((to, -fit, node))
+        node, to, fit = node[order], to[order], fit[order]
+        node, first = np.unique(node, return_index=True)
+        to, gain = to[first], fit[first] - stay[node]
+        others = np.bincount(c[node], d[node], len(names))[c[node]] + np.bincount(to, d[node], len(names))[to] - 2 * d[node]
+        good = gain > resolution * d[node] * others / (4 * weight) + NOTHING
+        c[node[good]] = to[good]
+        turn += 1
+        thin = 0 if good.any() else (thin + 1) % (2 + math.ceil(math.log2(left + 1)))
+    return pd.DataFrame({"a": names[nodes], "c": names[c]})
+
+
+def _settle(pairs: DataFrame, home: DataFrame, resolution: float, one_task: int) -> tuple[DataFrame, bool]:
+    """Moves nodes until no single move gains: node, community and whether any moved. home: a, c for every node in pairs.
+
+    Moving a node of degree d to a community of weight k with it and mass M gains, but for a factor, resolution * k - M * d / (2 W);
+    of several moves at once, those between other communities don't matter to each other. So each turn, a coin makes each
+    community give or receive, a node of a giving one proposes the best receiving one, and of the proposals those stand that gain
+    more than all others with the same source or target may take from them: two nodes of degrees d and e that go from or to the
+    same community lose d * e / (2 W) at most. Proposals are thinned, by half from turn to turn, so that some always stand. Every
+    turn with moves thus raises modularity, and the end is reached when no node has a move that gains, whichever coins fall.
+    Sums are rounded, so that results don't depend on their order, nor on whether one task takes the turns.
     """
-    names = sorted({x for a, b, _ in pairs for x in (a, b)})
-    group = {n: n for n in names}
-    weights: dict[str, dict[str, float]] = {n: {} for n in names}
-    degree = dict.fromkeys(names, 0.0)
-    for a, b, w in pairs:
-        weights[a][b] = weights[a].get(b, 0.0) + w
-        weights[b][a] = weights[b].get(a, 0.0) + w
-        degree[a] += w
-        degree[b] += w
-    total = sum(degree.values()) / 2
-    if total <= 0:
-        return group
+    if pairs.count() > one_task:
+        return _settle_by_joins(pairs, home, resolution)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame(columns=["a", "b", "w", "c"]), *frames])
+        own = rows["c"].notna()
+        if own.any():
+            yield _turns(rows[~own], rows[own], resolution)
+
+    every = pairs.select("a", "b", "w", F.lit(None).cast("string").alias("c")).unionByName(home.select("a", F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w"), "c"))
+    new = cut(every.coalesce(1).mapInPandas(run, "a string, c string"))
+    return new, not new.join(home.withColumnRenamed("c", "old"), "a").filter("c <> old").isEmpty()
+
+
+def _settle_by_joins(pairs: DataFrame, home: DataFrame, resolution: float) -> tuple[DataFrame, bool]:
+    """_settle() by joins, a turn at a time."""
+    both = cut(pairs.filter("a <> b").select("a", "b", "w").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
+    degree = cut(weighted_degrees(pairs).select(F.col("uid").alias("a"), F.round("degree", 9).alias("d")))
+    weight = (degree.agg(F.sum("d")).first()[0] or 0.0) / 2
+    moved, turn, thin = False, 0, 0
+    if weight <= 0:
+        return home, False
     while True:
-        home, mass, moved = {n: n for n in weights}, dict(degree), False
-        for n in sorted(weights):
-            links: dict[str, float] = {}
-            for m, w in weights[n].items():
-                if m != n:
-                    links[home[m]] = links.get(home[m], 0.0) + w
-            mass[home[n]] -= degree[n]
-            gains = [(-(resolution * k / total - mass[c] * degree[n] / (2 * total * total)), c) for c, k in links.items()]
-            best = min((g for g in gains if g[0] < 0), default=(0.0, home[n]))
-            moved |= best[1] != home[n]
-            home[n] = best[1]
-            mass[home[n]] += degree[n]
-        if not moved:
-            return group
-        least: dict[str, str] = {}
-        for n in sorted(weights):
-            least.setdefault(home[n], n)
-        new = {n: least[home[n]] for n in weights}
-        merged: dict[str, dict[str, float]] = {c: {} for c in set(new.values())}
-        for n, row in weights.items():
-            for m, w in row.items():
-                merged[new[n]][new[m]] = merged[new[n]].get(new[m], 0.0) + w
-        summed = dict.fromkeys(merged, 0.0)
-        for n, d in degree.items():
-            summed[new[n]] += d
-        weights, degree = merged, summed
-        group = {n: new[c] for n, c in group.items()}
-
-
-def _parallel(pairs: DataFrame, resolution: float) -> DataFrame:
-    """uid, community by synchronous sweeps, for graphs beyond one task.
-
-    In turn, nodes move to lesser and to greater names only, so that two never change places.
-    """
-    level = pairs
-    member = weighted_degrees(pairs).select("uid", F.col("uid").alias("community"))
-    for _ in range(LEVELS):
-        both = cut(level.select("a", "b", "w").unionByName(level.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w")))
-        degree = cut(weighted_degrees(level).select(F.col("uid").alias("a"), "degree"))
-        total = (degree.agg(F.sum("degree")).first()[0] or 0.0) / 2
-        home, changed, still = cut(degree.select("a", F.col("a").alias("c"))), False, 0
-        for sweep in range(SWEEPS if total > 0 else 0):
-            mass = home.join(degree, "a").groupBy("c").agg(F.sum("degree").alias("mass"))
-            links = both.filter("a <> b").join(home.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("k"))
-            seen = links.join(mass, "c").join(degree, "a").join(home.withColumnRenamed("c", "own"), "a")
-            rest = F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("degree")).otherwise(F.lit(0.0))
-            gain = F.lit(resolution) * F.col("k") / total - rest * F.col("degree") / (2 * total * total)
-            best = seen.withColumn("gain", gain).filter("gain > 0").groupBy("a").agg(F.max(F.struct("gain", "c")).alias("best"))
-            turn = F.col("best.c") < F.col("c") if sweep % 2 == 0 else F.col("best.c") > F.col("c")
-            moved = home.join(best, "a", "left").select("a", F.when(turn, F.col("best.c")).otherwise(F.col("c")).alias("n"), "c")
-            moved = cut(moved)
-            n = moved.filter("n <> c").count()
-            home, changed = moved.select("a", F.col("n").alias("c")), changed or n > 0
-            still = 0 if n else still + 1
-            if still == 2:
-                break
-        if not changed or home.select("c").distinct().count() == degree.count():
-            break
-        least = home.groupBy("c").agg(F.min("a").alias("least"))
-        home = cut(home.join(least, "c").select("a", F.col("least").alias("c")))
-        member = cut(member.join(home.withColumnRenamed("c", "next"), member["community"] == home["a"]).select("uid", F.col("next").alias("community")))
-        up = level.join(home.select("a", F.col("c").alias("ca")), "a").join(home.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
-        level = cut(up.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
-    return member
+        own = home.join(degree, "a")
+        mass = own.groupBy("c").agg(F.round(F.sum("d"), 9).alias("mass"))
+        links = both.join(home.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.round(F.sum("w"), 9).alias("k"))
+        worth = links.join(mass, "c").join(own.select("a", "d", F.col("c").alias("from")), "a")
+        fit = F.round(F.lit(resolution) * F.col("k") - (F.col("mass") - F.when(F.col("c") == F.col("from"), F.col("d")).otherwise(F.lit(0.0))) * F.col("d") / (2 * weight), 9)
+        worth = worth.withColumn("fit", fit)
+        other = F.col("c") != F.col("from")
+        best = worth.groupBy("a", "from", "d").agg(
+            F.max(F.when(~other, F.col("fit"))).alias("stay"), F.max(F.when(other, F.col("fit"))).alias("top"), F.min(F.when(other & (_coin("c", f"|{turn}") % 2 == 1), F.struct((-F.col("fit")).alias("less"), F.col("c").alias("to")))).alias("ask")
+        )
+        # A node without a link to its own community loses the mass of the others there only.
+        best = best.join(mass.withColumnRenamed("c", "from"), "from").withColumn("stay", F.coalesce("stay", F.round(-(F.col("mass") - F.col("d")) * F.col("d") / (2 * weight), 9)))
+        chosen = _coin("a", f"#{turn}") % (1 << thin) == 0
+        asks = (_coin("from", f"|{turn}") % 2 == 0) & (-F.col("ask.less") - F.col("stay") > NOTHING) & chosen
+        best = best.select("a", "from", "d", (F.col("top") - F.col("stay") > NOTHING).alias("open"), F.when(asks, F.col("ask.to")).alias("to"), (-F.col("ask.less") - F.col("stay")).alias("gain"))
+        best = cut(best.filter("open"))
+        left = best.count()
+        if not left:
+            return home, moved
+        give = best.filter("to IS NOT NULL").groupBy("from").agg(F.sum("d").alias("gives"))
+        take = best.filter("to IS NOT NULL").groupBy("to").agg(F.sum("d").alias("takes"))
+        stands = best.filter("to IS NOT NULL").join(give, "from").join(take, "to").filter(F.col("gain") > F.lit(resolution) * F.col("d") * (F.col("gives") + F.col("takes") - 2 * F.col("d")) / (4 * weight) + NOTHING)
+        new = cut(home.join(stands.select("a", "to"), "a", "left").select("a", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("went")))
+        went = not new.filter("went").isEmpty()
+        home, moved, turn = new.select("a", "c"), moved or went, turn + 1
+        thin = 0 if went else (thin + 1) % (2 + math.ceil(math.log2(left + 1)))
+
+
+def _named(home: DataFrame) -> DataFrame:
+    """home with communities named by their least nodes."""
+    return cut(home.join(home.groupBy("c").agg(F.min("a").alias("least")), "c").select("a", F.col("least").alias("c")))
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, one_task: int = ONE_TASK_PAIRS) -> DataFrame:
-    """uid, community (its least uid) of every node; nodes without edges are alone."""
+    """uid, community (its least uid) of every node; nodes without edges are alone.
+
+    Nodes move until none gains by it, then communities as wholes, and again, until neither does: at the end no move of a node
+    and no move of a community into another gains modularity. The same at any size and partitioning.
+    """
     pairs = cut(cluster_graph(nodes, edges))
-    if pairs.count() <= one_task:
+    home = cut(weighted_degrees(pairs).select(F.col("uid").alias("a"), F.col("uid").alias("c")))
+    while True:
+        home, _ = _settle(pairs, home, resolution, one_task)
+        home = _named(home)
+        ends = [home.select(F.col("a").alias(k), F.col("c").alias(f"c{k}")) for k in ("a", "b")]
+        up = pairs.join(ends[0], "a").join(ends[1], "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w"))
+        up = cut(up)
+        over, joined = _settle(up, cut(home.select(F.col("c").alias("a")).distinct().withColumn("c", F.col("a"))), resolution, one_task)
+        if not joined:
+            break
+        home = _named(home.join(over.select(F.col("a").alias("c"), F.col("c").alias("to")), "c").select("a", F.col("to").alias("c")))
+    found = home.select(F.col("a").alias("uid"), F.col("c").alias("community"))
+    return nodes.select("uid").distinct().join(found, "uid", "left").select("uid", F.coalesce("community", "uid").alias("community"))
 
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            rows = pd.concat(list(frames) or [pd.DataFrame(columns=["a", "b", "w"])])
-            found = _solve(sorted(rows.itertuples(index=False, name=None)), resolution)
-            yield pd.DataFrame({"uid": list(found), "community": list(found.values())}, dtype=str)
 
-        found = pairs.coalesce(1).mapInPandas(run, "uid string, community string")
-    else:
-        found = _parallel(pairs, resolution)
-    return nodes.select("uid").distinct().join(found, "uid", "left").select("uid", F.coalesce("community", "uid").alias("community"))
+def invariants(nodes: DataFrame, edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row about a partition: nodes, placed (nodes with one community), least (communities named by their least node),
+    improving (moves of a node to a neighbour's community that gain), above (has it at least the modularity of singletons?)."""
+    pairs = cluster_graph(nodes, edges)
+    degree = weighted_degrees(pairs)
+    whole = degree.agg(F.sum("degree") / 2).scalar()
+    both = pairs.filter("a <> b").select("a", "b", "w").unionByName(pairs.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    mass = members.join(degree, "uid").groupBy("community").agg(F.sum("degree").alias("mass"))
+    links = both.join(members.select(F.col("uid").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("k"))
+    own = members.join(degree, "uid").select(F.col("uid").alias("a"), F.col("community").alias("home"), "degree")
+    here = own.join(mass.withColumnRenamed("community", "home"), "home").join(links.withColumnRenamed("community", "home").withColumnRenamed("k", "k0"), ["a", "home"], "left")
+    stay = F.lit(resolution) * F.coalesce("k0", F.lit(0.0)) - (F.col("mass") - F.col("degree")) * F.col("degree") / (2 * whole)
+    there = links.join(mass.withColumnRenamed("mass", "m"), "community").join(here.withColumn("stay", stay), "a").filter("community <> home")
+    gains = F.lit(resolution) * F.col("k") - F.col("m") * F.col("degree") / (2 * whole) - F.col("stay")
+    better = there.agg(F.count_if(gains > 1e-6).alias("improving"))
+    alone = nodes.select("uid", F.col("uid").alias("community"))
+    q, q0 = (modularity(pairs, m, resolution) for m in (members, alone))
+    least = members.groupBy("community").agg(F.min("uid").alias("first")).agg(F.count_if(F.col("first") != F.col("community"))).scalar()
+    one = nodes.select("uid").join(members, "uid", "left").agg(F.countDistinct("uid").alias("nodes"), F.count("community").alias("placed"))
+    one = one.withColumns({"least": least == 0, "improving": better.scalar(), "q": q.scalar(), "q0": q0.scalar()})
+    return one.select("nodes", "placed", "least", "improving", (F.coalesce("q", F.lit(0.0)) >= F.coalesce("q0", F.lit(0.0)) - 1e-9).alias("above"))
 
 
 def modularity(pairs: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:

@@ -133,11 +133,10 @@ def test_embedding_cache(spark):
 BRIDGE = [("a1", "a2", 0.95), ("a2", "a3", 0.95), ("a1", "a3", 0.9), ("b1", "b2", 0.95), ("b2", "b3", 0.95), ("b1", "b3", 0.9), ("a3", "b1", 0.3)]
 
 
-@pytest.mark.parametrize("one_task", [1000, 0])
-def test_two_communities(spark, one_task):
+def test_two_communities(spark):
     n = nodes(spark, *(f(u, u, f"/src/{u[0]}/x.ts") for u in ("a1", "a2", "a3", "b1", "b2", "b3", "z")))
     e = edges(spark, *((a, b, "CALLS", c) for a, b, c in BRIDGE))
-    found = {r.uid: r.community for r in community.louvain(n, e, one_task=one_task).collect()}
+    found = {r.uid: r.community for r in community.louvain(n, e).collect()}
     assert found == {"a1": "a1", "a2": "a1", "a3": "a1", "b1": "b1", "b2": "b1", "b3": "b1", "z": "z"}
     pairs = community.cluster_graph(n, e)
     members = spark.createDataFrame(list(found.items()), "uid string, community string")
@@ -149,6 +148,30 @@ def test_two_communities(spark, one_task):
     assert set(col(community.assigned(n, members), "cluster_id")) == {"a1", "b1", "z"}
 
 
+def test_communities_leave_no_move_that_gains(spark):
+    """Rings of cliques, a star, and random links; alike at any partitioning."""
+    import random
+
+    r = random.Random(2)
+    e = [(f"q{k}{i}", f"q{k}{j}", "CALLS", 0.9) for k in range(6) for i in range(5) for j in range(i)] + [(f"q{k}0", f"q{(k + 1) % 6}1", "IMPORTS", 0.5) for k in range(6)]
+    e += [("hub", f"leaf{k}", "CALLS", 0.7) for k in range(40)] + [(f"x{r.randrange(30)}", f"x{r.randrange(30)}", "CALLS", r.random()) for _ in range(120)]
+    e = list({(a, b, t): (a, b, t, c) for a, b, t, c in e}.values())
+    n = nodes(spark, *(f(u, u) for u in sorted({x for a, b, _, _ in e for x in (a, b)})))
+    found = [community.louvain(n, edges(spark, *e).repartition(k)) for k in (1, 5)]
+    assert sorted(map(tuple, found[0].collect())) == sorted(map(tuple, found[1].collect()))
+    one = community.invariants(n, edges(spark, *e), found[0]).first()
+    assert (one.nodes, one.placed, one.least, one.improving, one.above) == (n.count(), n.count(), True, 0, True)
+    members = {x.uid: x.community for x in found[0].collect()}
+    assert all(members[f"q{k}{i}"] == members[f"q{k}0"] for k in range(6) for i in range(5)) and {members[f"leaf{k}"] for k in range(40)} == {"hub"}
+
+
+def test_communities_are_the_same_by_joins(spark):
+    e = edges(spark, *((a, b, "CALLS", c) for a, b, c in BRIDGE))
+    n = nodes(spark, *(f(u, u) for u in ("a1", "a2", "a3", "b1", "b2", "b3")))
+    one, joins = (sorted(map(tuple, community.louvain(n, e, one_task=k).collect())) for k in (1000, 0))
+    assert one == joins
+
+
 def test_degenerate_communities(spark):
     none = spark.createDataFrame([], NODES)
     nothing = spark.createDataFrame([], EDGES)
