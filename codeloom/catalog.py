@@ -12,7 +12,7 @@ from .functions import ids, vectors
 from .functions import text as T
 from .operators import community, incremental, lookup, reports, resolve, search, stats, store, traverse
 from .plans import cypher, raw_sql
-from .plans.runtime import checkpoint_dir
+from .plans.runtime import checkpoint_dir, cut
 from .plans.tools import Session
 from .session import attach
 from .sources import extract, projection, scan
@@ -253,51 +253,51 @@ UNION SELECT r.entry, e.to_uid, r.depth + 1 FROM reached r JOIN edges e ON e.fro
 steps AS (SELECT concat('proc_', substr(sha256(concat('process:', entry)), 1, 16)) AS process_id, entry AS entry_uid, uid AS symbol_uid, min(depth) AS depth FROM reached GROUP BY entry, uid)"""
 
 
-def _trace(g: Graph, which: str, depth: int) -> DataFrame:
-    return traverse.trace(g.edges, g.nodes.filter(which), depth)
+def _trace(g: Graph, depth: int = 10) -> DataFrame:
+    """Traces from all entry points."""
+    return traverse.trace(g.edges, traverse.entry_points(g.nodes, g.edges), depth)
 
 
-_SOME = "uid IN ('c19', 'c7', 'c2', 'c112')"
-
-
-@query("process_trace", f"WITH {_TRACE.format(_SOME, 10)} SELECT * FROM steps")
+@query("process_trace", f"WITH {_TRACE.format(_ENTRY, 10)} SELECT * FROM steps")
 def _(spark, d):
-    return _trace(code_graph(spark, d), _SOME, 10).select("process_id", "entry_uid", "symbol_uid", "depth")
+    return _trace(code_graph(spark, d)).select("process_id", "entry_uid", "symbol_uid", "depth")
 
 
-@query("process_trace_cyclic", f"WITH {_TRACE.format('true', 4)} SELECT * FROM steps", FLOW)
+@query("process_trace_cyclic", f"WITH {_TRACE.format('true', 10)} SELECT * FROM steps", FLOW)
 def _(spark, d):
-    return _trace(flow_graph(spark, d), "true", 4).select("process_id", "entry_uid", "symbol_uid", "depth")
+    g = flow_graph(spark, d)
+    return traverse.trace(g.edges, g.nodes, 10).select("process_id", "entry_uid", "symbol_uid", "depth")
 
 
 @query("process_step_order")
 def _(spark, d):
-    return _trace(flow_graph(spark, d), "true", 3)
+    g = flow_graph(spark, d)
+    return traverse.trace(g.edges, g.nodes, 10)
 
 
-@query("process_classify", f"""WITH {_TRACE.format(_SOME, 10)} SELECT process_id, CASE WHEN bool_or(coalesce(cluster_id, '') = '') THEN 'external' WHEN count(DISTINCT cluster_id) > 1 THEN 'cross_community' ELSE 'single_community' END AS process_type
+@query("process_classify", f"""WITH {_TRACE.format(_ENTRY, 10)} SELECT process_id, CASE WHEN bool_or(coalesce(cluster_id, '') = '') THEN 'external' WHEN count(DISTINCT cluster_id) > 1 THEN 'cross_community' ELSE 'single_community' END AS process_type
 FROM steps LEFT JOIN nodes ON symbol_uid = uid GROUP BY process_id""")
 def _(spark, d):
     g = code_graph(spark, d)
-    return traverse.classify(_trace(g, _SOME, 10), g.nodes)
+    return traverse.classify(_trace(g), g.nodes)
 
 
-@query("processes_with_steps", f"""WITH {_TRACE.format(_SOME, 10)} SELECT process_id, entry_uid, CAST(count(*) AS INT) AS n_steps, max(depth) AS depth FROM steps GROUP BY process_id, entry_uid""")
+@query("processes_with_steps", f"""WITH {_TRACE.format(_ENTRY, 10)} SELECT process_id, entry_uid, CAST(count(*) AS INT) AS n_steps, max(depth) AS depth FROM steps GROUP BY process_id, entry_uid""")
 def _(spark, d):
-    listed = traverse.processes(_trace(code_graph(spark, d), _SOME, 10))
+    listed = traverse.processes(_trace(code_graph(spark, d)))
     return listed.select("process_id", "entry_uid", F.size("steps").alias("n_steps"), F.array_max(F.transform("steps", lambda s: s["depth"])).alias("depth"))
 
 
 # ---- retrieval
 
 _TOKENS = r"""list_transform(list_filter(string_split(regexp_replace(regexp_replace({0}, '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'), '(\p{{Lu}})', ' \1', 'g'), ' '), lambda x: strlen(x) >= 2), lambda x: lower(x))"""
-_INDEX = f"""words AS (SELECT uid, unnest({_TOKENS.format("concat_ws(' ', name, kind, file_path)")}) AS term FROM nodes WHERE kind = 'Class'),
+_INDEX = f"""words AS (SELECT uid, unnest({_TOKENS.format("concat_ws(' ', name, kind, file_path)")}) AS term FROM nodes),
 tf AS (SELECT uid, term, count(*) AS n FROM words GROUP BY uid, term), total AS (SELECT uid, count(*) AS total FROM words GROUP BY uid), freq AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-index AS (SELECT term, uid, n::DOUBLE / total * (ln(((SELECT count(DISTINCT uid) FROM nodes WHERE kind = 'Class') + 1)::DOUBLE / (df + 1)) + 1) AS tfidf FROM tf JOIN total USING (uid) JOIN freq USING (term))"""
+index AS (SELECT term, uid, n::DOUBLE / total * (ln(((SELECT count(DISTINCT uid) FROM nodes) + 1)::DOUBLE / (df + 1)) + 1) AS tfidf FROM tf JOIN total USING (uid) JOIN freq USING (term))"""
 
 
 def _index(g: Graph) -> DataFrame:
-    return search.build_index(g.nodes.filter("kind = 'Class'"))
+    return search.build_index(g.nodes)
 
 
 @query("tokenize_terms", f"SELECT uid, {_TOKENS.format('name')} AS terms FROM nodes")
@@ -353,21 +353,21 @@ def _(spark, d):
     return lookup.hydrate(scores, g.nodes)
 
 
-@query("embed_cache_split", """WITH named AS (SELECT uid, concat_ws(' ', name, file_path, kind) AS text FROM nodes WHERE kind = 'Class'), hashed AS (SELECT uid, sha256(text) AS text_hash FROM named),
+@query("embed_cache_split", """WITH named AS (SELECT uid, concat_ws(' ', name, file_path, kind) AS text FROM nodes), hashed AS (SELECT uid, sha256(text) AS text_hash FROM named),
 cache AS (SELECT DISTINCT text_hash FROM hashed WHERE CAST(substr(uid, 2) AS BIGINT) % 3 = 0) SELECT uid, text_hash, text_hash IN (SELECT text_hash FROM cache) AS hit FROM hashed""")
 def _(spark, d):
-    nodes = code_graph(spark, d).nodes.filter("kind = 'Class'")
+    nodes = code_graph(spark, d).nodes
     seen = nodes.filter("CAST(substr(uid, 2) AS BIGINT) % 3 = 0")
     cache = seen.select(ids.text_hash(search.symbol_text(("name", "file_path", "kind"))).alias("text_hash")).distinct().withColumn("embedding", F.array(F.lit(0.0)))
     hits, misses = search.split_by_cache(nodes, cache)
     return hits.select("uid", "text_hash", F.lit(True).alias("hit")).unionByName(misses.select("uid", "text_hash", F.lit(False).alias("hit")))
 
 
-@query("embed_misses")
+@query("embed_misses", "SELECT uid, sha256(concat_ws(' ', name, file_path, kind)) AS text_hash, CAST(64 AS INT) AS size, CAST(NULL AS VARCHAR) AS error FROM nodes")
 def _(spark, d):
-    nodes = code_graph(spark, d).nodes.filter("kind IN ('Class', 'Interface')")
     none = spark.createDataFrame([], "text_hash string, embedding array<float>")
-    return search.embed(search.split_by_cache(nodes, none)[1])
+    done = search.embed(search.split_by_cache(code_graph(spark, d).nodes, none)[1])
+    return done.select("uid", "text_hash", F.size("embedding").alias("size"), "error")
 
 
 @query("float_codec", "SELECT vec_id, embedding, CAST(256 AS BIGINT) AS n_bytes FROM embeddings", graph="one AS (SELECT 1)")
@@ -386,18 +386,27 @@ def _given(g: Graph) -> DataFrame:
     return g.nodes.select("uid", F.concat(F.lit("k"), F.substring("uid", 2, 20).cast("long") % 7).alias("community"))
 
 
-@query("cluster_graph_degree", f"WITH {_PAIRS}, ends AS (SELECT a AS uid, w FROM pairs UNION ALL SELECT b, w FROM pairs) SELECT uid, round(sum(w), 6) AS degree FROM ends GROUP BY uid", FLOW)
-def _(spark, d):
-    g = flow_graph(spark, d)
-    return community.weighted_degrees(community.cluster_graph(g.nodes, g.edges)).withColumn("degree", F.round("degree", 6))
+def _on_both(name: str, sql: str | None, run: Callable[[Graph], DataFrame]) -> None:
+    """A query over the cyclic graph and, under another name, over the code graph."""
+    query(name, sql, FLOW)(lambda spark, d: run(flow_graph(spark, d)))
+    query(f"{name}_code", sql, CODE)(lambda spark, d: run(code_graph(spark, d)))
 
 
-@query("cluster_cohesion", f"""WITH {_PAIRS}, {_GIVEN}, placed AS (SELECT x.community AS ca, y.community AS cb, w FROM pairs JOIN members x ON a = x.uid JOIN members y ON b = y.uid),
-ends AS (SELECT ca AS community, w, ca = cb AS same FROM placed UNION ALL SELECT cb, w, ca = cb FROM placed)
-SELECT m.community, round(coalesce(sum(CASE WHEN same THEN w ELSE 0 END) / sum(w), 0), 6) AS cohesion FROM (SELECT DISTINCT community FROM members) m LEFT JOIN ends ON ends.community = m.community GROUP BY m.community""", FLOW)
-def _(spark, d):
-    g = flow_graph(spark, d)
-    return community.cohesion(_given(g), community.cluster_graph(g.nodes, g.edges)).withColumn("cohesion", F.round("cohesion", 6))
+_on_both(
+    "cluster_graph_degree",
+    f"WITH {_PAIRS}, ends AS (SELECT a AS uid, w FROM pairs UNION ALL SELECT b, w FROM pairs) SELECT uid, round(sum(w), 6) AS degree FROM ends GROUP BY uid",
+    lambda g: community.weighted_degrees(community.cluster_graph(g.nodes, g.edges)).withColumn("degree", F.round("degree", 6)),
+)
+
+_COHESION = """placed AS (SELECT x.community AS ca, y.community AS cb, w FROM pairs JOIN members x ON a = x.uid JOIN members y ON b = y.uid),
+ends AS (SELECT ca AS community, w, ca = cb AS same FROM placed UNION ALL SELECT cb, w, ca = cb FROM placed),
+cohesive AS (SELECT m.community, coalesce(sum(CASE WHEN same THEN w ELSE 0 END) / sum(w), 0) AS cohesion FROM (SELECT DISTINCT community FROM members) m LEFT JOIN ends ON ends.community = m.community GROUP BY m.community)"""
+
+_on_both(
+    "cluster_cohesion",
+    f"WITH {_PAIRS}, {_GIVEN}, {_COHESION} SELECT community, round(cohesion, 6) AS cohesion FROM cohesive",
+    lambda g: community.cohesion(_given(g), community.cluster_graph(g.nodes, g.edges)).withColumn("cohesion", F.round("cohesion", 6)),
+)
 
 
 @query("cluster_label", """WITH named AS (SELECT cluster_id AS community, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM nodes WHERE cluster_id <> ''),
@@ -408,24 +417,28 @@ def _(spark, d):
     return community.labels(nodes.filter("cluster_id <> ''").select("uid", F.col("cluster_id").alias("community")), nodes)
 
 
-@query("clusters_with_members", f"WITH {_GIVEN} SELECT community, list_sort(list(uid)) AS members FROM members GROUP BY community", FLOW)
-def _(spark, d):
-    g = flow_graph(spark, d)
-    return community.clusters(_given(g), g.nodes, community.cluster_graph(g.nodes, g.edges)).select("community", "members")
+_LABELS = """each AS (SELECT community, CASE WHEN contains(dir, '/') THEN array_to_string(string_split(dir, '/')[-2:], '/') ELSE dir END AS label, count(*) AS n FROM named GROUP BY 1, 2),
+labelled AS (SELECT community, label FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, label) AS r FROM each) WHERE r = 1)"""
 
 
-@query("louvain")
+@query("clusters_with_members", f"""WITH {_PAIRS}, {_GIVEN}, {_COHESION}, named AS (SELECT community, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM members JOIN nodes USING (uid)), {_LABELS}
+SELECT community, any_value(label) AS label, round(any_value(cohesion), 6) AS cohesion, list_sort(list(uid)) AS members FROM members JOIN cohesive USING (community) JOIN labelled USING (community) GROUP BY community""", FLOW)
 def _(spark, d):
     g = flow_graph(spark, d)
-    return community.louvain(g.nodes, g.edges)
+    return community.clusters(_given(g), g.nodes, community.cluster_graph(g.nodes, g.edges)).withColumn("cohesion", F.round("cohesion", 6))
 
 
-@query("modularity", f"""WITH {_PAIRS}, {_GIVEN}, ends AS (SELECT a AS uid, w FROM pairs UNION ALL SELECT b, w FROM pairs), deg AS (SELECT uid, sum(w) AS degree FROM ends GROUP BY uid), t AS (SELECT sum(degree) / 2 AS total FROM deg),
+_on_both("louvain", None, lambda g: community.louvain(g.nodes, g.edges))
+#: What holds of every right partition, whatever it is.
+_on_both("louvain_invariants", "SELECT count(*) AS nodes, count(*) AS placed, true AS least, CAST(0 AS BIGINT) AS improving, true AS above FROM nodes", lambda g: community.invariants(g.nodes, g.edges, cut(community.louvain(g.nodes, g.edges))))
+
+_on_both(
+    "modularity",
+    f"""WITH {_PAIRS}, {_GIVEN}, ends AS (SELECT a AS uid, w FROM pairs UNION ALL SELECT b, w FROM pairs), deg AS (SELECT uid, sum(w) AS degree FROM ends GROUP BY uid), t AS (SELECT sum(degree) / 2 AS total FROM deg),
 mass AS (SELECT community, sum(degree) AS mass FROM members JOIN deg USING (uid) GROUP BY community), inside AS (SELECT sum(w) AS w FROM pairs JOIN members x ON a = x.uid JOIN members y ON b = y.uid WHERE x.community = y.community)
-SELECT round((SELECT w FROM inside) / total - (SELECT sum(mass * mass) FROM mass) / (4 * total * total), 9) AS modularity FROM t""", FLOW)
-def _(spark, d):
-    g = flow_graph(spark, d)
-    return community.modularity(community.cluster_graph(g.nodes, g.edges), _given(g)).withColumn("modularity", F.round("modularity", 9))
+SELECT round((SELECT w FROM inside) / total - (SELECT sum(mass * mass) FROM mass) / (4 * total * total), 9) AS modularity FROM t""",
+    lambda g: community.modularity(community.cluster_graph(g.nodes, g.edges), _given(g)).withColumn("modularity", F.round("modularity", 9)),
+)
 
 
 # ---- the query language
@@ -471,6 +484,9 @@ _raw("raw_sql_rollup", "SELECT kind, exported, count(*) AS n, grouping(exported)
 _raw("raw_sql_joins", "WITH heavy AS (SELECT to_uid, count(*) AS n FROM edges GROUP BY to_uid) SELECT n.name, n.kind, h.n AS links FROM nodes n LEFT JOIN heavy h ON h.to_uid = n.uid WHERE n.kind IN ('Type', 'Constant', 'Interface')", "WITH heavy AS (SELECT to_uid, count(*) AS n FROM edges GROUP BY to_uid) SELECT n.name, n.kind, h.n AS links FROM nodes n LEFT JOIN heavy h ON h.to_uid = n.uid WHERE n.kind IN ('Type', 'Constant', 'Interface')")
 _raw("raw_sql_dialect", "SELECT uid FROM nodes WHERE name LIKE 'HOT%' OR file_path GLOB 'suppliers/1*'", "SELECT uid FROM nodes WHERE name ILIKE 'HOT%' OR file_path GLOB 'suppliers/1*'")
 
+_raw("raw_sql_concat", "SELECT type, group_concat(DISTINCT left(from_uid, 1)) AS firsts, group_concat(DISTINCT left(to_uid, 1), '+') AS ends FROM edges GROUP BY type", "SELECT type, string_agg(DISTINCT left(from_uid, 1), ',' ORDER BY left(from_uid, 1)) AS firsts, string_agg(DISTINCT left(to_uid, 1), '+' ORDER BY left(to_uid, 1)) AS ends FROM edges GROUP BY type")
+_raw("raw_sql_division", "SELECT uid, end_line / 7 AS sevenths, end_line / 7.0 AS share, count(*) OVER (PARTITION BY kind) AS peers FROM nodes", "SELECT uid, end_line // 7 AS sevenths, CAST(end_line / 7.0 AS DOUBLE) AS share, count(*) OVER (PARTITION BY kind) AS peers FROM nodes")
+
 # ---- ingestion
 
 _SOURCE = """concat('export function make', p_partkey, '() {{', chr(10), '  return use', p_partkey, '(1);', chr(10), '}}', chr(10), 'function use', p_partkey, '(x) {{', chr(10), '  return x;', chr(10), '}}', chr(10))"""
@@ -498,7 +514,7 @@ _REFS = """SELECT concat('p', a) AS from_uid, CASE WHEN b % 10 = 9 THEN concat('
 SELECT lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, l_partkey AS b, p_name AS n FROM {lineitem} JOIN {part} ON l_partkey = p_partkey) x WHERE a IS NOT NULL"""
 
 
-@query("resolve_calls", f"""WITH refs AS ({plain(_REFS)}), defs AS (SELECT uid, name, file_path, start_line, package_path AS package FROM nodes WHERE kind = 'Class'),
+@query("resolve_calls", f"""WITH refs AS ({plain(_REFS)}), defs AS (SELECT uid, name, file_path, start_line, package_path AS package FROM nodes),
 asked AS (SELECT DISTINCT from_uid, CASE WHEN starts_with(callee_name, 'EXTENDS:') THEN 'EXTENDS' ELSE 'CALLS' END AS type, regexp_replace(regexp_replace(callee_name, '^EXTENDS:', ''), '^[^.]*\\.', '') AS name FROM refs),
 placed AS (SELECT a.*, d.file_path, d.package FROM asked a JOIN defs d ON d.uid = a.from_uid),
 f AS (SELECT file_path, name, first(uid ORDER BY file_path, start_line, uid) AS u, count(*) AS n FROM defs GROUP BY 1, 2),
@@ -508,7 +524,7 @@ found AS (SELECT from_uid, coalesce(f.u, p.u, g.u) AS to_uid, type, CAST(CASE WH
 FROM placed x LEFT JOIN f ON f.file_path = x.file_path AND f.name = x.name LEFT JOIN p ON p.package = x.package AND p.name = x.name LEFT JOIN g ON g.name = x.name)
 SELECT from_uid, to_uid, type, max(c) AS confidence FROM found WHERE to_uid IS NOT NULL AND to_uid <> from_uid GROUP BY 1, 2, 3""")
 def _(spark, d):
-    return resolve.resolve(project(spark, d, _REFS), code_graph(spark, d).nodes.filter("kind = 'Class'"))
+    return resolve.resolve(project(spark, d, _REFS), code_graph(spark, d).nodes)
 
 
 @query("member_of_edges", "SELECT concat('o', o_orderkey) AS from_uid, concat('c', o_custkey) AS to_uid, 'MEMBER_OF' AS type, 1.0::DOUBLE AS confidence FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
@@ -624,20 +640,27 @@ def _(spark, d):
 
 # ---- reports
 
-@query("wiki_rows", """WITH m AS (SELECT cluster_id AS community, file_path FROM nodes WHERE cluster_id <> ''), named AS (SELECT community, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM m),
-each AS (SELECT community, CASE WHEN contains(dir, '/') THEN array_to_string(string_split(dir, '/')[-2:], '/') ELSE dir END AS label, count(*) AS n FROM named GROUP BY 1, 2),
-top AS (SELECT community, label FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, label) AS r FROM each) WHERE r = 1)
-SELECT top.community, label, CAST(count(*) AS INT) AS members FROM top JOIN m ON m.community = top.community GROUP BY 1, 2""")
+_CLUSTERED = "members AS (SELECT uid, cluster_id AS community, file_path FROM nodes WHERE cluster_id <> '')"
+
+
+@query("wiki_rows", f"""WITH {_PAIRS}, {_CLUSTERED}, {_COHESION}, named AS (SELECT community, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS dir FROM members), {_LABELS}
+SELECT community, label, CAST((SELECT count(*) FROM members m WHERE m.community = l.community) AS INT) AS members, printf('%.2f', cohesion) AS cohesion FROM labelled l JOIN cohesive USING (community)""")
 def _(spark, d):
     g = code_graph(spark, d)
     members = g.nodes.filter("cluster_id <> ''").select("uid", F.col("cluster_id").alias("community"))
-    return reports.cluster_rows(community.clusters(members, g.nodes, community.cluster_graph(g.nodes, g.edges))).select("community", "label", "members")
+    return reports.cluster_rows(community.clusters(members, g.nodes, community.cluster_graph(g.nodes, g.edges)))
 
 
-@query("agent_context", """SELECT printf('# shop%s%s%s symbols, %s relations, 3 communities.', chr(10), chr(10), format('{:,}', (SELECT count(*) FROM nodes)), format('{:,}', (SELECT count(*) FROM edges))) AS text""")
+@query("agent_context", """SELECT printf('# shop%s%s%s symbols, %s relations, %s communities.', chr(10), chr(10), format('{:,}', (SELECT count(*) FROM nodes)), format('{:,}', (SELECT count(*) FROM edges)), format('{:,}', (SELECT count(DISTINCT cluster_id) FROM nodes WHERE cluster_id <> ''))) AS text""")
 def _(spark, d):
     g = code_graph(spark, d)
-    return reports.agent_context(g.nodes, g.edges, spark.range(3), "shop")
+    return reports.agent_context(g.nodes, g.edges, g.nodes.filter("cluster_id <> ''").select("cluster_id").distinct(), "shop")
+
+
+@query("summary_counts", f"""WITH {_TRACE.format(_ENTRY, 10)} SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT cluster_id) FROM nodes WHERE cluster_id <> '') AS clusters, (SELECT count(DISTINCT process_id) FROM steps) AS processes""")
+def _(spark, d):
+    g = code_graph(spark, d)
+    return stats.counts(g.nodes, g.edges, g.nodes.filter("cluster_id <> ''").select("cluster_id").distinct(), _trace(g))
 
 
 @query("module_pages")
@@ -646,15 +669,17 @@ def _(spark, d):
     return reports.module_pages(community.clusters(community.louvain(g.nodes, g.edges), g.nodes, community.cluster_graph(g.nodes, g.edges)))
 
 
-@query("process_rows", f"WITH {_TRACE.format(_SOME, 10)} SELECT process_id, n.name, count(*) AS steps FROM steps JOIN nodes n ON n.uid = entry_uid GROUP BY 1, 2")
+@query("process_rows", f"WITH {_TRACE.format(_ENTRY, 10)} SELECT process_id, n.name, count(*) AS steps FROM steps JOIN nodes n ON n.uid = entry_uid GROUP BY 1, 2")
 def _(spark, d):
-    return reports.process_rows(_trace(code_graph(spark, d), _SOME, 10))
+    return reports.process_rows(_trace(code_graph(spark, d)))
 
 
-@query("graph_export", """SELECT concat('{"record":"edge","from_uid":"', from_uid, '","to_uid":"', to_uid, '","type":"', type, '"}') AS json FROM edges""")
+@query("graph_export", """SELECT concat('{"record":"edge","from_uid":"', from_uid, '","to_uid":"', to_uid, '","type":"', type, '","percent":', CAST(round(100 * confidence) AS INT), '}') AS json FROM edges
+UNION ALL SELECT concat('{"record":"node","uid":"', uid, '","name":"', name, '","kind":"', kind, '","file_path":"', file_path, '","start_line":', start_line, ',"end_line":', end_line, ',"exported":', exported, ',"package_path":"', package_path, '","cluster_id":"', cluster_id, '"}') FROM nodes""")
 def _(spark, d):
-    edges = code_graph(spark, d).edges.drop("confidence")
-    return reports.graph_export(spark.createDataFrame([], "uid string"), edges)
+    g = code_graph(spark, d)
+    # As whole per cents, since engines write doubles in their own ways.
+    return reports.graph_export(g.nodes, g.edges.withColumn("percent", F.round(F.col("confidence") * 100).cast("int")).drop("confidence"))
 
 
 # ---- streams
@@ -676,13 +701,14 @@ def _(spark, d):
     return spark.read.parquet(f"{at}/rows")
 
 
-@query("stream_embeddings", "SELECT uid FROM nodes WHERE kind = 'Interface'")
+@query("stream_embeddings", "SELECT uid, sha256(concat_ws(' ', name, 'suppliers/x.go', kind)) AS text_hash, CAST(64 AS INT) AS size, true AS unit, CAST(NULL AS VARCHAR) AS error FROM nodes WHERE kind = 'Interface'")
 def _(spark, d):
     at = f"{checkpoint_dir(spark)}/embed-{uuid.uuid4().hex}"
     suppliers = _stream(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("uid"), F.col("s_name").alias("name"), F.lit("Interface").alias("kind"), F.lit("suppliers/x.go").alias("file_path"))
     none = spark.createDataFrame([], "text_hash string, embedding array<float>")
     streams.embeddings(suppliers, lambda: none, f"{at}/rows", f"{at}/offsets").awaitTermination()
-    return spark.read.parquet(f"{at}/rows").select("uid")
+    rows = spark.read.parquet(f"{at}/rows")
+    return rows.select("uid", "text_hash", F.size("embedding").alias("size"), (F.abs(vectors.norm(F.col("embedding")) - 1) < 1e-5).alias("unit"), "error")
 
 
 @query("stream_patches", """SELECT concat('make', p_partkey) AS name, concat('src/', p_partkey, '.ts') AS file_path FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT concat('use', p_partkey), concat('src/', p_partkey, '.ts') FROM part WHERE p_partkey % 5 <> 0""", graph="one AS (SELECT 1)")
@@ -699,6 +725,48 @@ def _(spark, d):
     return state.read("nodes").select("name", "file_path")
 
 
+_CALLER = "concat('export function make', p_partkey, '() {{', chr(10), '  return make', p_partkey + {0}, '(1);', chr(10), '}}', chr(10))"
+
+
+@query("incremental_equals_full", """WITH k AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 1 THEN p_partkey + 2 ELSE p_partkey + 1 END AS t FROM part WHERE p_partkey % 5 <> 0)
+SELECT substr(sha256(concat('src/', x.k, '.ts:make', x.k, ':Function')), 1, 16) AS from_uid, substr(sha256(concat('src/', x.t, '.ts:make', x.t, ':Function')), 1, 16) AS to_uid, 'CALLS' AS type, 0.95::DOUBLE AS confidence
+FROM k x JOIN k y ON y.k = x.t""", graph="one AS (SELECT 1)")
+def _(spark, d):
+    """File k calls what file k + 1 defines. Then every fifth file goes, and the next ones call what file k + 2 defines."""
+    at = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
+    state = streams.GraphState(spark, f"{at}/state", TABLES["nodes"], "from_uid string, to_uid string, type string, confidence double")
+    files = lambda step, where, status: project(spark, d, f"SELECT concat('src/', p_partkey, '.ts') AS path, {_CALLER.format(step)} AS text, '{status}' AS status FROM {{part}} WHERE {where}")
+    feed = lambda: spark.readStream.schema("path string, text string, status string").parquet(f"{at}/feed/*")
+    for name, batch in (("one", files(1, "true", "added")), ("two", files(2, "p_partkey % 5 = 1", "modified").unionByName(files(1, "p_partkey % 5 = 0", "deleted")))):
+        batch.coalesce(1).write.parquet(f"{at}/feed/{name}")
+        streams.patches(feed(), state, f"{at}/offsets").awaitTermination()
+    return state.read("edges")
+
+
+#: A file of each language: extension, text, and its symbols (name, kind, lines, exported); @ is the key.
+_FILES = (
+    ("go", "package a\n\ntype Box@ struct {\n  n int\n}\n\nfunc (b *Box@) Open() {\n}\n\nfunc make@(n int) {\n  use(n)\n}\n", (("Box@", "Class", 3, 5, True), ("Open", "Method", 7, 8, True), ("make@", "Function", 10, 12, False))),
+    ("py", "import os\n\ndef make@(x):\n    return use(x)\n\nclass _Box@:\n    def open(self):\n        pass\n", (("make@", "Function", 3, 4, True), ("_Box@", "Class", 6, 8, False), ("open", "Function", 7, 8, True))),
+    ("java", "import a.b.C;\n\npublic class Box@ {\n  public int open(int n) {\n    return n;\n  }\n}\n", (("Box@", "Class", 3, 7, True), ("open", "Method", 4, 6, True))),
+    ("rs", "use a::b;\n\npub fn make@(n: i32) -> i32 {\n  use_it(n)\n}\n\nstruct Box@ {\n  n: i32,\n}\n", (("make@", "Function", 3, 5, True), ("Box@", "Class", 7, 9, False))),
+    ("cpp", "#include <a>\n\nclass Box@ {\n};\n\nint make@(int n) {\n  return use(n);\n}\n", (("Box@", "Class", 3, 4, False), ("make@", "Function", 6, 8, False))),
+    ("ts", "export interface Shape@ {\n}\nexport class Box@ extends Base {\n  open(n) {\n    return use(n);\n  }\n}\nexport const make@ = (n) => {\n  return n;\n};\n", (("Shape@", "Interface", 1, 2, True), ("Box@", "Class", 3, 7, True), ("open", "Method", 4, 6, True), ("make@", "Function", 8, 10, True))),
+)
+
+
+def _languages_sql() -> str:
+    rows = [f"SELECT replace('{n}', '@', k) AS name, '{kind}' AS kind, concat('src/f', k, '.{ext}') AS file_path, {a}::INT AS start_line, {b}::INT AS end_line, {str(x).lower()} AS exported FROM p" for ext, _, found in _FILES for n, kind, a, b, x in found]
+    return "WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part) " + " UNION ALL ".join(rows)
+
+
+@query("extract_languages", _languages_sql(), graph="one AS (SELECT 1)")
+def _(spark, d):
+    files = spark.createDataFrame([(ext, text) for ext, text, _ in _FILES], "ext string, text string")
+    keys = _table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    each = keys.crossJoin(F.broadcast(files)).select(F.concat(F.lit("src/f"), "k", F.lit("."), "ext").alias("path"), F.expr("replace(text, '@', k)").alias("text"))  # six files a key
+    return extract.nodes_of(extract.records(each)).select("name", "kind", "file_path", "start_line", "end_line", "exported")
+
+
 # ---- sessions over a registry
 
 
@@ -709,7 +777,7 @@ def _indexed(spark: SparkSession, d: str) -> Session:
     links = g.edges.select(ids.edge_id("from_uid", "to_uid", "type").alias("id"), *g.edges.columns)
     registry.write("shop", "nodes", g.nodes)
     registry.write("shop", "edges", links)
-    registry.write("shop", "postings", search.build_index(g.nodes.filter("kind = 'Class'")))
+    registry.write("shop", "postings", search.build_index(g.nodes))
     registry.write("other", "nodes", g.nodes.filter("kind = 'Type'"))
     for name in ("shop", "other"):
         registry.register(name, f"/src/{name}")
@@ -742,6 +810,6 @@ def _(spark, d):
     return _indexed(spark, d).sql("SELECT kind, count(*) AS n FROM nodes GROUP BY kind")
 
 
-@query("resource_context", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges")
+@query("resource_context", "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, CAST(0 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS processes")
 def _(spark, d):
     return _indexed(spark, d).resource("context")

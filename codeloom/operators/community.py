@@ -30,7 +30,7 @@ def cluster_graph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def weighted_degrees(pairs: DataFrame) -> DataFrame:
     """uid, degree; an edge counts at both its ends."""
-    ends = pairs.select(F.col("a").alias("uid"), "w").unionByName(pairs.select(F.col("b").alias("uid"), "w"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("uid"), "w")
     return ends.groupBy("uid").agg(F.sum("w").alias("degree"))
 
 
@@ -100,9 +100,10 @@ def _settle(pairs: DataFrame, home: DataFrame, resolution: float, one_task: int)
         return _settle_by_joins(pairs, home, resolution)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pd.DataFrame(columns=["a", "b", "w", "c"]), *frames])
-        own = rows["c"].notna()
-        if own.any():
+        every = list(frames)
+        if every:
+            rows = pd.concat(every)
+            own = rows["c"].notna()
             yield _turns(rows[~own], rows[own], resolution)
 
     every = pairs.select("a", "b", "w", F.lit(None).cast("string").alias("c")).unionByName(home.select("a", F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("w"), "c"))

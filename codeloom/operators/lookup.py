@@ -82,9 +82,10 @@ def references(nodes: DataFrame, edges: DataFrame, name: str, types: list[str] |
     wanted = edges.filter(F.col("confidence") >= least)
     if types:
         wanted = wanted.filter(F.col("type").isin([t.upper() for t in types]))
-    target = first_of(nodes, name).select(F.col("uid").alias("to_uid"))
+    target = first_of(nodes, name).first()  # one row, so that its uid reaches the scan of edges
+    wanted = wanted.filter(F.col("to_uid") == target["uid"] if target else F.lit(False))
     callers = nodes.select(F.col("uid").alias("from_uid"), "name", "kind", "file_path", "start_line", "end_line")
-    return wanted.join(target, "to_uid").join(callers, "from_uid").select("from_uid", "name", "kind", "file_path", "start_line", "end_line", "type", "confidence")
+    return wanted.join(callers, "from_uid").select("from_uid", "name", "kind", "file_path", "start_line", "end_line", "type", "confidence")
 
 
 def context(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:

@@ -43,8 +43,9 @@ def lexical(index: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
 
 
 def nearest(embeddings: DataFrame, query: list[float], limit: int = 20, candidates: int | None = None) -> DataFrame:
-    """uid, distance: the vectors of least cosine distance; none for a zero query. candidates: how many to look at, if not all."""
-    some = embeddings.limit(candidates) if candidates else embeddings
+    """uid, distance: the vectors of least cosine distance; none for a zero query. candidates: how many to look at, if not all, in
+    the order of their uids."""
+    some = embeddings.orderBy("uid").limit(candidates) if candidates else embeddings
     q = F.array(*(F.lit(float(x)) for x in query)) if query else F.array().cast("array<double>")
     if not any(query or []):
         some = some.limit(0)
@@ -102,16 +103,26 @@ def hashed(texts: list[str], size: int = 64) -> list[list[float]]:
 
 
 def embed(misses: DataFrame, provider: Callable[[list[str]], list[list[float]]] = hashed, batch: int = 64) -> DataFrame:
-    """(uid, text_hash, embedding) from (uid, text_hash, text), batch texts a call; a batch whose call fails is left out."""
+    """(uid, text_hash, embedding, error) from (uid, text_hash, text), batch texts a call.
+
+    A call that fails costs its batch only, whose rows come with the error and no embedding, to be tried again.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k in range(0, len(frame), batch):
-                part = frame.iloc[k : k + batch]
+                part = frame.iloc[k : k + batch][["uid", "text_hash", "text"]]
                 try:
-                    got = provider(part["text"].tolist())
-                except Exception:  # noqa: BLE001  a provider's failure costs its batch only
-                    continue
-                yield part[["uid", "text_hash"]].assign(embedding=got)
+                    got, error = provider(part["text"].tolist()), None
+                    if len(got) != len(part):
+                        raise ValueError(f"{len(got)} vectors for {len(part)} texts")
+                except Exception as e:  # noqa: BLE001  whatever a provider raises
+                    got, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                yield part[["uid", "text_hash"]].assign(embedding=got, error=error)
+
+    return misses.mapInPandas(run, "uid string, text_hash string, embedding array<float>, error string")
+
 
-    return misses.mapInPandas(run, "uid string, text_hash string, embedding array<float>")
+def embedded(done: DataFrame) -> DataFrame:
+    """The rows of embed() that have a vector."""
+    return done.filter("embedding IS NOT NULL").select("uid", "text_hash", "embedding")

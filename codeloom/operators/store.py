@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
+from ..plans.runtime import cut
 
 
 def _last(df: DataFrame, key: list[str], *order) -> DataFrame:
@@ -23,10 +24,14 @@ def upsert_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(old, _last(new, ["uid"], F.col("start_line").desc(), F.col("end_line").desc(), F.col("name")), ["uid"])
 
 
+def named_edges(edges: DataFrame) -> DataFrame:
+    """edges with their ids."""
+    return edges.select(ids.edge_id("from_uid", "to_uid", "type").alias("id"), "from_uid", "to_uid", "type", "confidence")
+
+
 def upsert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """By edge id; a known edge takes the new confidence, of several new ones the highest."""
-    named = lambda df: df.select(ids.edge_id("from_uid", "to_uid", "type").alias("id"), "from_uid", "to_uid", "type", "confidence")
-    return upsert(named(old), _last(named(new), ["id"], F.col("confidence").desc()), ["id"])
+    return upsert(named_edges(old), _last(named_edges(new), ["id"], F.col("confidence").desc()), ["id"])
 
 
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -44,7 +49,7 @@ def delete_files(paths: DataFrame, nodes: DataFrame, edges: DataFrame, **others:
 
     others are tables with a column uid or symbol_uid.
     """
-    gone = nodes.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("uid")
+    gone = cut(nodes.join(paths.select("file_path").distinct(), "file_path", "left_semi").select("uid"))  # once for all tables
     out = {"nodes": nodes.join(gone, "uid", "left_anti").select(*nodes.columns)}
     left = edges.join(gone.withColumnRenamed("uid", "from_uid"), "from_uid", "left_anti").join(gone.withColumnRenamed("uid", "to_uid"), "to_uid", "left_anti")
     out["edges"] = left.select(*edges.columns)

@@ -9,6 +9,19 @@ from ..functions import ids
 from ..plans.runtime import cut
 
 REACHING = ("CALLS", "IMPORTS")
+#: Nodes of a frontier that are given to a scan by name, at most.
+FRONT = 200
+
+
+def _reach(edges: DataFrame, front: DataFrame) -> DataFrame:
+    """edges (at, next, c) from the nodes of front, a written table.
+
+    Up to FRONT nodes, their names reach the scan of edges as a list of values, so that stored edges in the order of their ends
+    are skipped; beyond, and in any case for the join, Spark decides by sizes at run time.
+    """
+    names = [r[0] for r in front.select("at").distinct().limit(FRONT + 1).collect()]
+    some = edges.filter(F.col("at").isin(names)) if len(names) <= FRONT else edges
+    return some.join(front, "at")
 
 
 def impact(edges: DataFrame, start: DataFrame, direction: str = "downstream", least: float = 0.5, depth: int = 5) -> DataFrame:
@@ -16,15 +29,16 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "downstream", le
 
     Each edge must have the least confidence; a path's is the product. downstream follows edges, upstream goes against them.
     Depth 1 always counts. A uid may come at several depths and confidences, the start itself where there are cycles. Each
-    level keeps its distinct rows only and is computed once; small frontiers are broadcast at run time, large ones shuffled.
+    level keeps its distinct rows only and is computed once; small frontiers are given to the scan
+    by name and broadcast at run time, large ones shuffled.
     """
     if direction not in ("downstream", "upstream"):
         raise ValueError("direction is downstream or upstream")
     here, there = ("from_uid", "to_uid") if direction == "downstream" else ("to_uid", "from_uid")
     good = edges.filter(F.col("type").isin(*REACHING) & (F.col("confidence") >= least))
-    good = good.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("confidence").alias("c")).persist()
+    good = good.select(F.col(here).alias("at"), F.col(there).alias("next"), F.col("confidence").alias("c"))
     front = start.select(F.col("uid").alias("start_uid"), F.col("uid").alias("at")).distinct()
-    level = good.join(front, "at").select("start_uid", F.col("next").alias("uid"), F.lit(1).alias("depth"), F.col("c").alias("confidence")).distinct()
+    level = _reach(good, cut(front)).select("start_uid", F.col("next").alias("uid"), F.lit(1).alias("depth"), F.col("c").alias("confidence")).distinct()
     levels = []
     for k in range(1, max(1, depth) + 1):
         level = cut(level)
@@ -32,9 +46,8 @@ def impact(edges: DataFrame, start: DataFrame, direction: str = "downstream", le
             break
         levels.append(level)
         if k < depth:
-            step = good.join(level.withColumnRenamed("uid", "at"), "at")
+            step = _reach(good, level.withColumnRenamed("uid", "at"))
             level = step.select("start_uid", F.col("next").alias("uid"), F.lit(k + 1).alias("depth"), (F.col("c") * F.col("confidence")).alias("confidence")).distinct()
-    good.unpersist()
     out = level.limit(0) if not levels else levels[0]
     for other in levels[1:]:
         out = out.unionByName(other)

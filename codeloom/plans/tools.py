@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,42 +25,54 @@ class ToolError(ValueError):
     """The call can't be answered."""
 
 
+def _kept(old: DataFrame, changed: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of old whose file hasn't changed, and those of new."""
+    return old.join(changed, "file_path", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
 def analyze(spark: SparkSession, registry: Registry, name: str, root: str, ignore: list[str] | None = None, force: bool = False, embed: bool = False) -> dict:
-    """Indexes a tree of files: all of it, or what changed since. Gives the mode and the number of changes."""
+    """Indexes a tree of files: all of it, or what changed since. Gives the mode and the numbers of changes and broken files.
+
+    ignore are lines in place of the root's ignore file, and are remembered. All references are kept with their files and
+    resolved anew against all symbols, so after a partial change the edges are those of a full build.
+    """
     attach(spark)
-    files = scan.scan(spark, root, ignore)
+    lines = scan.ignore_lines(spark, root) if ignore is None else ignore
+    files = scan.scan(spark, root, lines)
     current = cut(files.select("path", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("hash")))
     before = registry.read(name, "files")
     full = incremental.mode(before, force) == "full"
     changes = cut(incremental.first_listing(current) if full else incremental.snapshot_diff(before, current))
     n = changes.count()
     if not n and not full:
-        return {"mode": "fresh", "changed": 0}
-    nodes, edges = (registry.read(name, t) for t in ("nodes", "edges"))
+        return {"mode": "fresh", "changed": 0, "failed": 0}
+    old = {t: registry.read(name, t) for t in ("nodes", "references", "owners", "failures")}
     if full:
-        nodes, edges = nodes.limit(0), edges.limit(0)
-    gone = changes.filter("status <> 'added'").select(F.col("path").alias("file_path"))
-    left = store.delete_files(gone, nodes, edges)
+        old = {t: df.limit(0) for t, df in old.items()}
+    changed = changes.select(F.col("path").alias("file_path"))
     found = cut(extract.records(current.join(changes.filter("status <> 'deleted'").select("path"), "path")))
-    every = cut(store.upsert_nodes(left["nodes"], extract.nodes_of(found)))
-    new = resolve.resolve(extract.calls_of(found), every).unionByName(resolve.member_edges(every, extract.owners_of(found)))
-    links = cut(store.upsert_edges(left["edges"].drop("id"), new))
+    every = cut(_kept(old["nodes"], changed, store.upsert_nodes(old["nodes"].limit(0), extract.nodes_of(found))))
+    references = cut(_kept(old["references"], changed, extract.references_of(found)))
+    owners = cut(_kept(old["owners"], changed, extract.owners_of(found)))
+    failures = cut(_kept(old["failures"], changed, extract.failures_of(found)))
+    new = resolve.resolve(references, every).unionByName(resolve.member_edges(every, owners))
+    links = cut(store.named_edges(new))
     members = cut(community.louvain(every, links, DEFAULTS["resolution"]))
     every = cut(community.assigned(every, members))
     clusters = cut(community.clusters(members, every, community.cluster_graph(every, links)))
     steps = traverse.trace(links, traverse.entry_points(every, links), DEFAULTS["trace_depth"])
     steps = cut(steps.join(traverse.classify(steps, every), "process_id"))
     tables = {"nodes": every, "edges": links, "clusters": clusters, "process_steps": steps, "postings": search.build_index(every), "files": current}
+    tables |= {"references": references, "owners": owners, "failures": failures}
     if embed:
         cache = registry.read(name, "embeddings").select("text_hash", "embedding").dropDuplicates(["text_hash"])
         hits, misses = search.split_by_cache(every, cache)
-        tables["embeddings"] = cut(hits.unionByName(search.embed(misses)))
-    meta = spark.createDataFrame([("repo_path", root)], "key string, value string")
-    tables["index_meta"] = meta
+        tables["embeddings"] = cut(hits.unionByName(search.embedded(search.embed(misses))))
+    tables["index_meta"] = spark.createDataFrame([("repo_path", root), ("ignore", json.dumps(lines))], "key string, value string")
     for table, df in tables.items():
         registry.write(name, table, df)
     registry.register(name, root)
-    return {"mode": "full" if full else "incremental", "changed": n}
+    return {"mode": "full" if full else "incremental", "changed": n, "failed": failures.count()}
 
 
 class Session:
@@ -105,7 +118,8 @@ class Session:
         return found.join(nodes.select("uid", "name", "kind", "file_path"), "uid").select("uid", "name", "kind", "file_path", "depth", "confidence")
 
     def _changes(self) -> DataFrame:
-        files = scan.scan(self.registry.spark, self._root())
+        lines = store.get_meta(self._table("index_meta"), "ignore").first()[0]
+        files = scan.scan(self.registry.spark, self._root(), json.loads(lines) if lines else None)
         return incremental.snapshot_diff(self._table("files").select("path", "hash"), scan.snapshot(files))
 
     def _rename(self, symbol: str, new_name: str) -> DataFrame:
@@ -142,7 +156,7 @@ class Session:
         if kind == "repos":
             return self._list()
         if kind == "context":
-            return stats.counts(self._table("nodes"), self._table("edges"))
+            return stats.counts(*(self._table(t) for t in ("nodes", "edges", "clusters", "process_steps")))
         if kind == "schema":
             rows = [(t, c.name, c.dataType.simpleString()) for t in ("nodes", "edges", "clusters", "process_steps") for c in self._table(t).schema]
             return self.registry.spark.createDataFrame(rows, "table string, column string, type string")

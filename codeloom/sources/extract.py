@@ -96,7 +96,8 @@ def _typescript(s: Source, found: Found) -> None:
             found.imports.append((m[5], "", bool(m[2])))
     exported = r"(?P<x>\bexport\s+(?:default\s+)?)?"
     for m in re.finditer(exported + r"(?:\basync\s+)?\bfunction\s*\*?\s*(?P<n>[\w$]+)\s*[<(]", s.masked):
-        span = s.body(s.masked.index("(", m.end() - 1))
+        opened = s.masked.find("(", m.end() - 1)
+        span = s.body(opened) if opened >= 0 else None
         if span:
             uid = found.add(m["n"], "Function", s.line(m.start() if m["x"] is None else m.start("n")), s.line(span[1]), m["x"] is not None)
             _calls(s, found, uid, *span, dotted=True)
@@ -238,7 +239,11 @@ def extract_file(path: str, text: str) -> Found:
 
 
 def records(files: DataFrame) -> DataFrame:
-    """One table of nodes, imports, calls and owners of files (path, text); unknown and broken files give none."""
+    """One table of nodes, imports, calls and owners of files (path, text).
+
+    Files of unknown languages give nothing. A file that breaks its extractor gives a row of its own (rec = 'failed') with the
+    error, and doesn't touch the others.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in KINDS.split(", ")]
@@ -247,7 +252,10 @@ def records(files: DataFrame) -> DataFrame:
             for path, text in zip(frame["path"], frame["text"], strict=True):
                 try:
                     f = extract_file(path, text or "")
-                except (UnknownLanguage, RecursionError):
+                except UnknownLanguage:
+                    continue
+                except Exception as e:  # noqa: BLE001  whatever a broken file raises
+                    rows.append(("failed", None, type(e).__name__, None, path, None, None, None, None, str(e)[:500], None))
                     continue
                 rows += [("node", u, n, k, path, a, b, x, p, None, None) for u, n, k, a, b, x, p in f.nodes]
                 rows += [("import", None, alias, None, path, None, None, None, None, target, flag) for target, alias, flag in f.imports]
@@ -267,9 +275,19 @@ def calls_of(found: DataFrame) -> DataFrame:
     return found.filter("rec = 'call'").select(F.col("uid").alias("from_uid"), F.col("other").alias("callee_name"), F.col("start_line").alias("line"))
 
 
+def references_of(found: DataFrame) -> DataFrame:
+    """file_path, from_uid, callee_name, line: call sites with their files, to be kept."""
+    return found.filter("rec = 'call'").select("file_path", F.col("uid").alias("from_uid"), F.col("other").alias("callee_name"), F.col("start_line").alias("line"))
+
+
 def imports_of(found: DataFrame) -> DataFrame:
     return found.filter("rec = 'import'").select("file_path", F.col("other").alias("import_path"), F.col("name").alias("alias"), F.col("flag").alias("is_type"))
 
 
+def failures_of(found: DataFrame) -> DataFrame:
+    """file_path, error, message of the files that broke their extractor."""
+    return found.filter("rec = 'failed'").select("file_path", F.col("name").alias("error"), F.col("other").alias("message"))
+
+
 def owners_of(found: DataFrame) -> DataFrame:
-    return found.filter("rec = 'owner'").select("uid", F.col("other").alias("owner_uid"))
+    return found.filter("rec = 'owner'").select("file_path", "uid", F.col("other").alias("owner_uid"))

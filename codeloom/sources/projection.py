@@ -38,11 +38,11 @@ UNION ALL SELECT concat('o', o_orderkey), concat('c', o_custkey), 'MEMBER_OF', C
 UNION ALL SELECT DISTINCT concat('s', l_suppkey), concat('p', l_partkey), 'EXTENDS', CAST(0.6 AS DOUBLE) FROM {lineitem}
 UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), 'IMPLEMENTS', CAST(0.95 AS DOUBLE) FROM {nation}"""
 
-#: A cyclic graph: users who follow each other in an event type's log, three times at least.
+#: A cyclic graph: users who follow each other in an event type's log.
 FLOW_EDGES = """SELECT from_uid, to_uid, 'CALLS' AS type, CAST(least(0.95, 0.4 + 0.1 * count(*)) AS DOUBLE) AS confidence FROM (
 SELECT concat('u', lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id)) AS from_uid, concat('u', user_id) AS to_uid,
 lag(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before, user_id AS after FROM {events}) x
-WHERE before IS NOT NULL AND before <> after GROUP BY from_uid, to_uid HAVING count(*) >= 3"""
+WHERE before IS NOT NULL AND before <> after GROUP BY from_uid, to_uid"""
 
 FLOW_NODES = """SELECT DISTINCT concat('u', user_id) AS uid, concat('user', user_id) AS name, 'Function' AS kind, concat('users/', user_id % 10, '/u.ts') AS file_path,
 CAST(1 AS INT) AS start_line, CAST(9 AS INT) AS end_line, true AS exported, concat('users/', user_id % 10) AS package_path, '' AS cluster_id FROM {events}"""

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import datetime
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.runtime import small_text
+
 SCHEMA = "name string, path string, indexed_at string"
 TABLES = {
     "nodes": "uid string, name string, kind string, file_path string, start_line int, end_line int, exported boolean, package_path string, cluster_id string",
@@ -18,6 +21,9 @@ TABLES = {
     "embeddings": "uid string, text_hash string, embedding array<float>",
     "index_meta": "key string, value string",
     "files": "path string, text string, hash string",
+    "references": "file_path string, from_uid string, callee_name string, line int",
+    "owners": "file_path string, uid string, owner_uid string",
+    "failures": "file_path string, error string, message string",
 }
 
 
@@ -33,11 +39,7 @@ class Registry:
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def all(self) -> list[dict]:
-        fs, path = self._fs(f"{self.folder}/registry.json")
-        if not fs.exists(path):
-            return []
-        text = self.spark.read.text(f"{self.folder}/registry.json", wholetext=True).first()
-        return json.loads(text[0]) if text and text[0] else []
+        return json.loads(small_text(self.spark, f"{self.folder}/registry.json") or "[]")
 
     def _save(self, rows: list[dict]) -> None:
         fs, path = self._fs(f"{self.folder}/registry.json")
@@ -75,17 +77,37 @@ class Registry:
     def frame(self) -> DataFrame:
         return self.spark.createDataFrame([(r["name"], r["path"], r["indexed_at"]) for r in self.all()], SCHEMA)
 
+    def _current(self, name: str, table: str) -> str | None:
+        """The folder of a table's newest complete version."""
+        at = f"{self.folder}/{name}/{table}"
+        version = small_text(self.spark, f"{at}/CURRENT")
+        return f"{at}/{version}" if version else None
+
     def read(self, name: str, table: str) -> DataFrame:
-        fs, path = self._fs(f"{self.folder}/{name}/{table}")
-        if not fs.exists(path):
+        at = self._current(name, table)
+        if not at:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.folder}/{name}/{table}")
+        return self.spark.read.schema(TABLES[table]).parquet(at)
 
     def write(self, name: str, table: str, df: DataFrame) -> None:
-        """Replaces a table: written aside first, so that df may read what it replaces."""
+        """Replaces a table: a new version is written, then a file that names it is moved into place.
+
+        So df may read what it replaces, a reader or a crash in between finds the old version, and of two writers the last counts.
+        The version before stays for those who read it; older ones go.
+        """
         shaped = df.select(*(F.col(c.split()[0]).cast(c.split(" ", 1)[1]) for c in TABLES[table].split(", ")))
-        at = f"{self.folder}/{name}/{table}"
-        shaped.write.mode("overwrite").parquet(f"{at}.new")
-        fs, old = self._fs(at)
-        fs.delete(old, True)
-        fs.rename(self._fs(f"{at}.new")[1], old)
+        at, before = f"{self.folder}/{name}/{table}", self._current(name, table)
+        version = f"v{uuid.uuid4().hex}"
+        shaped.write.parquet(f"{at}/{version}")
+        fs, new = self._fs(f"{at}/CURRENT.{version}")
+        out = fs.create(new, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+        jvm = self.spark.sparkContext._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(new, self._fs(f"{at}/CURRENT")[1], options)
+        for s in fs.listStatus(self._fs(at)[1]):
+            folder = s.getPath().getName()
+            if s.isDirectory() and folder != version and not (before and before.endswith(folder)):
+                fs.delete(s.getPath(), True)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..plans.runtime import small_text
 
 #: Directories and suffixes that are never read, and the languages of extensions.
 SKIPPED_DIRECTORIES = (".git", ".codeloom", "node_modules", "vendor", "dist", ".idea", ".vscode")
@@ -74,13 +75,23 @@ def ignored(path: Column | str, lines: list[str]) -> Column:
     return out
 
 
+#: Fixed value: the name of an ignore file.
+IGNORE_FILE = ".gitignore"
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """Lines of the root's ignore file; none without one."""
+    return (small_text(spark, f"{root.rstrip('/')}/{IGNORE_FILE}") or "").splitlines()
+
+
 def scan(spark: SparkSession, root: str, ignore: list[str] | None = None, known_only: bool = True) -> DataFrame:
-    """path (relative), ext, size, mtime, content of the files below root. ignore: lines of the root's ignore file."""
+    """path (relative), ext, size, mtime, content of the files below root. ignore: lines in place of the root's ignore file."""
     base = root.rstrip("/")
+    ignore = ignore_lines(spark, root) if ignore is None else ignore
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
     relative = F.regexp_replace("path", "^.*?" + re.escape(re.sub(r"^\w+:/*", "/", base)) + "/", "")
     out = files.select(relative.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    out = out.filter(wanted("path") & ~ignored("path", ignore or [])).withColumn("ext", T.extension("path"))
+    out = out.filter(wanted("path") & ~ignored("path", ignore)).withColumn("ext", T.extension("path"))
     return (out.filter(supported("path")) if known_only else out).select("path", "ext", "size", "mtime", "content")
 
 

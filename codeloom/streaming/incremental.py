@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import search, store
+from ..operators import resolve, search, store
 from ..sources import extract
+from ..sources.registry import TABLES
 
 
 class GraphState:
-    """Nodes and edges as versions of Parquet folders; a stream's batch makes the next version.
+    """Nodes, edges, references and owners as versions of Parquet folders; a stream's batch makes the next version.
 
-    A batch is known by its number, so one that is run again after a failure writes the same version anew.
+    References stay as they are written in the files and are resolved anew each time, so edges are those of a full build. A batch is known by its number, so one that is run again after a failure writes the same version anew.
     """
 
     def __init__(self, spark: SparkSession, folder: str, nodes: str, edges: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
-        self.schemas = {"nodes": nodes, "edges": edges}
+        self.schemas = {"nodes": nodes, "edges": edges, "references": TABLES["references"], "owners": TABLES["owners"]}
 
     def _path(self, version: int, table: str) -> str:
         return f"{self.folder}/v{version}/{table}"
@@ -42,39 +43,49 @@ class GraphState:
             return self.spark.createDataFrame([], self.schemas[table])
         return self.spark.read.schema(self.schemas[table]).parquet(self._path(known[-1], table))
 
+    def _write(self, df: DataFrame, version: int, table: str) -> DataFrame:
+        path = self._path(version, table)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schemas[table]).parquet(path)
+
     def apply(self, changes: DataFrame, batch: int) -> None:
         """changes: path, status, text. Deleted and modified files go, added and modified ones are read anew."""
         version = batch + 1
-        nodes, edges = self.read("nodes", version), self.read("edges", version)
-        gone = changes.filter("status IN ('deleted', 'modified')").select(F.col("path").alias("file_path"))
-        left = store.delete_files(gone, nodes, edges)
+        changed = changes.select(F.col("path").alias("file_path")).distinct()
         found = extract.records(changes.filter("status <> 'deleted'").select("path", "text")).persist()
-        new = store.upsert_nodes(left["nodes"], extract.nodes_of(found))
-        new.write.mode("overwrite").parquet(self._path(version, "nodes"))
-        from ..operators import resolve
-
-        every = self.spark.read.schema(self.schemas["nodes"]).parquet(self._path(version, "nodes"))
-        # References resolve against all symbols, not only the changed files' ones.
-        fresh = resolve.resolve(extract.calls_of(found), every).unionByName(resolve.member_edges(every, extract.owners_of(found)))
-        kept = store.upsert_edges(left["edges"].drop("id") if "id" in edges.columns else left["edges"], fresh)
-        kept.select(*edges.columns).write.mode("overwrite").parquet(self._path(version, "edges"))
+        kept = lambda table, new: self.read(table, version).join(changed, "file_path", "left_anti").select(*new.columns).unionByName(new)
+        fresh = store.upsert_nodes(self.read("nodes", version).limit(0), extract.nodes_of(found))
+        nodes = self._write(kept("nodes", fresh), version, "nodes")
+        references = self._write(kept("references", extract.references_of(found)), version, "references")
+        owners = self._write(kept("owners", extract.owners_of(found)), version, "owners")
+        edges = resolve.resolve(references, nodes).unionByName(resolve.member_edges(nodes, owners))
+        columns = [c.split()[0] for c in self.schemas["edges"].split(", ")]
+        self._write(store.named_edges(edges).select(*columns), version, "edges")  # the last, which makes the version complete
         found.unpersist()
 
 
-def patches(changes: DataFrame, state: GraphState, checkpoint: str) -> StreamingQuery:
-    """Applies all available micro-batches of a stream of changes, then ends."""
-    return changes.writeStream.foreachBatch(state.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def _trigger(every: str | None) -> dict:
+    """All that is there, then an end; or a micro-batch every so often, for ever."""
+    return {"processingTime": every} if every else {"availableNow": True}
+
+
+def patches(changes: DataFrame, state: GraphState, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Applies a stream of changes by micro-batches: all available ones, then it ends, or every so often without end."""
+    return changes.writeStream.foreachBatch(state.apply).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
-def embeddings(nodes: DataFrame, cache: Callable[[], DataFrame], sink: str, checkpoint: str, provider=search.hashed) -> StreamingQuery:
-    """Embeds a stream of nodes, a micro-batch at a time; texts in the cache cost no call."""
+def embeddings(nodes: DataFrame, cache: Callable[[], DataFrame], sink: str, checkpoint: str, provider=search.hashed, every: str | None = None) -> StreamingQuery:
+    """Embeds a stream of nodes, a micro-batch at a time; texts in the cache cost no call. A source's options bound a batch's size.
+
+    Rows whose call failed come with an error and no embedding.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         hits, misses = search.split_by_cache(batch, cache())
-        done = hits.select("uid", "text_hash", F.col("embedding").cast("array<float>").alias("embedding")).unionByName(search.embed(misses, provider))
-        done.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        known = hits.select("uid", "text_hash", F.col("embedding").cast("array<float>").alias("embedding"), F.lit(None).cast("string").alias("error"))
+        known.unionByName(search.embed(misses, provider)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    return nodes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return nodes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 
 def activity(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -120,13 +120,14 @@ def test_embedding_cache(spark):
     hits, misses = search.split_by_cache(n, none)
     done = search.embed(misses, search.hashed)
     assert hits.count() == 0 and done.count() == 2
-    hits, misses = search.split_by_cache(n, done.filter("uid = 'n1'").select("text_hash", "embedding"))
+    hits, misses = search.split_by_cache(n, search.embedded(done).filter("uid = 'n1'").select("text_hash", "embedding"))
     assert col(hits, "uid") == ["n1"] and col(misses, "uid") == ["n2"]
 
     def broken(texts):
         raise RuntimeError("down")
 
-    assert search.embed(misses, broken).count() == 0
+    failed = search.embed(misses, broken).collect()
+    assert [(r.uid, r.embedding, r.error) for r in failed] == [("n2", None, "RuntimeError: down")] and search.embedded(search.embed(misses, broken)).count() == 0
     assert len(search.embed(misses, search.zeros).first()["embedding"]) == 384
 
 
@@ -250,3 +251,20 @@ def test_degrees_of_unconnected(spark):
     got = {r.uid: (r.degree, r.size) for r in stats.degrees(nodes(spark, f("a", "a"), f("b", "b")), edges(spark, ("a", "a", "CALLS", 1))).collect()}
     assert got == {"a": (2, 15.0), "b": (0, 3.0)}
     assert stats.degrees(nodes(spark, f("a", "a")), spark.createDataFrame([], EDGES)).first()["size"] == 3.0
+
+
+def test_other_dialect(spark):
+    from codeloom.plans import raw_sql
+
+    n = nodes(spark, f("a", "x"), f("b", "y"), f("c", "z", kind="Class"))
+    ask = lambda sql: sorted(map(tuple, raw_sql.run(spark, sql, nodes=n).collect()))
+    assert ask("SELECT kind, group_concat(uid), count(*) / 2 FROM nodes GROUP BY kind") == [("Class", "c", 0), ("Function", "a,b", 1)]
+    assert ask("WITH t AS (SELECT 3/2 AS h, 3/2.0 AS s, 'a/b' AS t FROM nodes LIMIT 1) SELECT h, CAST(s AS DOUBLE), t FROM t") == [(1, 1.5, "a/b")]
+    assert ask("SELECT group_concat(uid, ';') FROM nodes WHERE uid IN (SELECT uid FROM nodes WHERE name = 'x')") == [("a",)]
+    spark.range(1).createOrReplaceTempView("foreign_rows")
+    for bad in ("SELECT * FROM parquet.`/tmp/x`", "SELECT * FROM foreign_rows", "SELECT * FROM nodes WHERE uid IN (SELECT CAST(id AS STRING) FROM foreign_rows)", "SELECT * FROM range(3)"):
+        with pytest.raises(raw_sql.NotReading):
+            raw_sql.run(spark, bad, nodes=n)
+    spark.range(7).createOrReplaceTempView("nodes")
+    assert len(ask("SELECT * FROM nodes")) == 3 and spark.table("nodes").count() == 7
+    spark.catalog.dropTempView("nodes")

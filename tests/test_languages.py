@@ -130,3 +130,13 @@ def test_raw_sql(spark, graph):
         with pytest.raises(raw_sql.NotReading):
             raw_sql.checked(bad)
     assert raw_sql.checked("SELECT 'a;b; drop table x'")
+
+
+def test_broken_files_touch_no_others(spark):
+    from codeloom.sources import extract
+
+    files = spark.createDataFrame([("a.ts", "export function f<T"), ("b.ts", "function g() {}"), ("c.txt", "x"), ("d.py", None)], "path string, text string")
+    found = extract.records(files)
+    assert [r.name for r in extract.nodes_of(found).collect()] == ["g"] and extract.failures_of(found).count() == 0
+    row = ("failed", None, "KeyError", None, "e.rs", None, None, None, None, "no", None)
+    assert extract.failures_of(spark.createDataFrame([row], extract.KINDS)).first().asDict() == {"file_path": "e.rs", "error": "KeyError", "message": "no"}

@@ -20,8 +20,8 @@ def root(tmp_path):
 
 def test_index_and_ask(spark, root, tmp_path):
     registry = Registry(spark, f"file://{tmp_path}/store")
-    assert tools.analyze(spark, registry, "one", str(root), embed=True) == {"mode": "full", "changed": 3}
-    assert tools.analyze(spark, registry, "one", str(root)) == {"mode": "fresh", "changed": 0}
+    assert tools.analyze(spark, registry, "one", str(root), embed=True) == {"mode": "full", "changed": 3, "failed": 0}
+    assert tools.analyze(spark, registry, "one", str(root)) == {"mode": "fresh", "changed": 0, "failed": 0}
     s = tools.Session(registry)
     assert {r.name for r in s.call("query", query="add!").collect()} == {"add"}
     assert {r.name for r in s.call("find_referencing", name="add").collect()} == {"main", "multiply"}
@@ -49,12 +49,29 @@ def test_incremental_index_keeps_other_files(spark, root, tmp_path):
     (root / "src/index.ts").unlink()
     s = tools.Session(registry)
     assert {(r.path, r.status) for r in s.call("detect_changes").collect()} == {("src/math.ts", "modified"), ("src/index.ts", "deleted")}
-    assert tools.analyze(spark, registry, "one", str(root)) == {"mode": "incremental", "changed": 2}
+    assert tools.analyze(spark, registry, "one", str(root)) == {"mode": "incremental", "changed": 2, "failed": 0}
     assert {r.name for r in registry.read("one", "nodes").collect()} == {"plus", "Logger", "info", "warn", "write"}
     # The changed file's call finds a symbol of a file that didn't change.
     assert {r.name for r in s.call("find_referencing", name="write").collect()} >= {"plus", "info", "warn"}
 
 
+def test_partial_index_keeps_edges_of_other_files(spark, root, tmp_path):
+    """The defining file changes, a broken one comes, the ignore file counts; edges are those of a full build."""
+    (root / ".gitignore").write_text("secret*\n")
+    (root / "secret.ts").write_text("export function hidden() {}\n")
+    registry = Registry(spark, f"file://{tmp_path}/store")
+    tools.analyze(spark, registry, "one", str(root))
+    assert registry.read("one", "nodes").filter("name = 'hidden'").count() == 0
+    (root / "src/math.ts").write_text(FILES["src/math.ts"] + "export function more(a) {\n  return a;\n}\n")
+    (root / "src/cut.ts").write_text("export function f<T")
+    s = tools.Session(registry, "one")
+    assert {(r.path, r.status) for r in s.call("detect_changes").collect()} == {("src/math.ts", "modified"), ("src/cut.ts", "added")}
+    assert tools.analyze(spark, registry, "one", str(root))["mode"] == "incremental"
+    tools.analyze(spark, registry, "two", str(root))
+    one, two = (sorted(map(tuple, registry.read(name, "edges").collect())) for name in ("one", "two"))
+    assert one == two and {r.name for r in s.call("find_referencing", name="add").collect()} == {"main", "multiply"}
+
+
 def test_registry(spark, root, tmp_path):
     registry = Registry(spark, f"file://{tmp_path}/store")
     assert registry.all() == [] and registry.resolve() == "" and registry.frame().count() == 0
