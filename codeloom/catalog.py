@@ -735,7 +735,7 @@ def _(spark, d):
     """File k calls what file k + 1 defines. Then every fifth file goes, and the next ones call what file k + 2 defines."""
     at = f"{checkpoint_dir(spark)}/incremental-{uuid.uuid4().hex}"
     state = streams.GraphState(spark, f"{at}/state", TABLES["nodes"], "from_uid string, to_uid string, type string, confidence double")
-    files = lambda step, where, status: project(spark, d, f"SELECT concat('src/', p_partkey, '.ts') AS path, {_CALLER.format(step)} AS text, '{status}' AS status FROM {{part}} WHERE {where}")
+    files = lambda step, where, status: project(spark, d, f"SELECT concat('src/', p_partkey, '.ts') AS path, {_CALLER.replace('{0}', str(step))} AS text, '{status}' AS status FROM {{part}} WHERE {where}")
     feed = lambda: spark.readStream.schema("path string, text string, status string").parquet(f"{at}/feed/*")
     for name, batch in (("one", files(1, "true", "added")), ("two", files(2, "p_partkey % 5 = 1", "modified").unionByName(files(1, "p_partkey % 5 = 0", "deleted")))):
         batch.coalesce(1).write.parquet(f"{at}/feed/{name}")

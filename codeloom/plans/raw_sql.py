@@ -53,7 +53,7 @@ def _arguments(text: str, at: int) -> tuple[list[str], int]:
 
 
 def _joined(text: str) -> str:
-    """group_concat(x) and group_concat(x, s), also DISTINCT, as listagg over text, in the order of the values."""
+    """group_concat(x) and group_concat(x, s), also DISTINCT, in the order of the values; null where all are."""
     out, at = "", 0
     for m in re.finditer(r"\bgroup_concat\s*\(", text, re.I):
         if m.start() < at or "'" in text[at : m.start()] and len(re.findall("'", text[: m.start()])) % 2:
@@ -61,17 +61,19 @@ def _joined(text: str) -> str:
         args, end = _arguments(text, m.end() - 1)
         one = re.match(r"(?is)(distinct\s+)?(.*)", args[0])
         value = f"CAST({one[2]} AS STRING)"
-        out += text[at : m.start()] + f"listagg({one[1] or ''}{value}, {args[1] if len(args) > 1 else repr(SEPARATOR)}) WITHIN GROUP (ORDER BY {value})"
+        every = "collect_set" if one[1] else "collect_list"
+        out += text[at : m.start()] + f"CASE WHEN count({value}) > 0 THEN array_join(array_sort({every}({value})), {args[1] if len(args) > 1 else repr(SEPARATOR)}) END"
         at = end
     return out + text[at:]
 
 
 def translated(sql: str) -> str:
-    """Words of the other dialect replaced; LIKE there ignores case."""
+    """Words of the other dialect replaced; LIKE there ignores case, and numbers with a point are doubles."""
     out = re.sub(DIALECT[0][0], DIALECT[0][1], sql, flags=re.I)
     out = re.sub(DIALECT[1][0], lambda m: f"{m[1]} RLIKE r'{_glob(m[2])}'", _joined(out), flags=re.I)
     parts = re.split(r"('(?:[^']|'')*')", out)
-    return "".join(p if k % 2 else re.sub(r"\bLIKE\b", "ILIKE", p, flags=re.I) for k, p in enumerate(parts))
+    plain = lambda p: re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D", re.sub(r"\bLIKE\b", "ILIKE", p, flags=re.I))
+    return "".join(p if k % 2 else plain(p) for k, p in enumerate(parts))
 
 
 def _relations(spark: SparkSession, text: str) -> set[str]:
