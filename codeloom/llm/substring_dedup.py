@@ -42,7 +42,8 @@ _LOW = np.uint64((1 << 20) - 1)
 _OTHER = np.uint64(0x8CB92BA72F3D8DD7)
 #: Documents to verify whose keys (16 bytes) are broadcast, to read their texts before any shuffle; with more, texts shuffle.
 MOST_PLACES = 1 << 20
-PLACE = ("k1", "k2", "lo", "hi")
+#: A document and the first and last window of a run in it, in the upper and lower half of span.
+PLACE = ("k1", "k2", "span")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """fp, area, k1, k2, lo, hi (first and last window of the run, by their first words) of all windows of docs (k1, k2, text)."""
+    """fp, area and place (see PLACE; windows by their first words) of all windows of docs (k1, k2, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +99,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     fp = words.spans(*words.prefix(h), anchor, anchor + GRAM)
                     area = words.spans(*words.prefix(words.mix(h ^ _OTHER)), lo, hi + WINDOW)
                     begin = base[text] - at[text]
-                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(area.view(np.int64)), *(batch.column(k).take(pa.array(first + text)) for k in ("k1", "k2")), pa.array((lo + begin).astype(np.int32)), pa.array((hi + begin).astype(np.int32))], ["fp", "area", *PLACE])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(area.view(np.int64)), *(batch.column(k).take(pa.array(first + text)) for k in ("k1", "k2")), pa.array(((lo + begin) << 32) + hi + begin)], ["fp", "area", *PLACE])
 
-    return docs.select("k1", "k2", "text").mapInArrow(run, "fp long, area long, k1 long, k2 long, lo int, hi int")
+    return docs.select("k1", "k2", "text").mapInArrow(run, "fp long, area long, k1 long, k2 long, span long")
 
 
 def _first(*columns: str, names: tuple = PLACE) -> list[Column]:
@@ -115,7 +116,7 @@ def _cell(parts: Column) -> Column:
 class FingerprintIndex:
     """The runs, as tables in the session's shared folder; see the module's text. A new index is empty."""
 
-    OLD = ("o1", "o2", "olo", "ohi")
+    OLD = ("o1", "o2", "ospan")
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fan: int = FAN) -> None:
         self.spark, self.buckets, self.fan = spark, buckets or shuffle_partitions(spark), fan
@@ -173,8 +174,7 @@ class FingerprintIndex:
             theirs = self.spark.table(f"{other}_heads").select("fp", F.col("n").alias("m"), F.col("area").alias("a"), F.col("last").alias("z"))
             known = known.join(theirs, "fp", "left").select("fp", (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"), F.least("low", "a").alias("low"), F.greatest("high", "z").alias("high"))
         known = known.filter("n > 1").select("fp", (F.col("low") < F.col("high")).alias("mixed"))
-        kinds = dict(zip((*PLACE, *self.OLD), ("long", "long", "int", "int") * 2, strict=True))
-        none = lambda names: [F.lit(None).cast(kinds[c]).alias(c) for c in names]
+        none = lambda names: [F.lit(None).cast("long").alias(c) for c in names]
         here = self._classes(name, mine.join(known, "fp")).select("fp", "area", "n", "mixed", F.col("n").alias("own"), *PLACE, *none(self.OLD))
         for other in older:
             there = self._classes(other, self.spark.table(f"{other}_heads").join(known, "fp"))
@@ -234,6 +234,11 @@ def _window_hashes(docs: DataFrame) -> DataFrame:
     return docs.select("k1", "k2", "text", "spans").mapInArrow(run, "k1 long, k2 long, w1 long, w2 long, at int")
 
 
+def _windows(df: DataFrame) -> DataFrame:
+    """k1, k2, lo, hi of places."""
+    return df.select("k1", "k2", F.shiftright("span", 32).cast("int").alias("lo"), F.col("span").bitwiseAND((1 << 32) - 1).cast("int").alias("hi"))
+
+
 def _spans(df: DataFrame) -> DataFrame:
     """k1, k2 and the distinct spans of a document, as an array; of a size in proportion to the document's own text at most."""
     return df.select("k1", "k2", F.struct("lo", "hi").alias("span")).distinct().groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
@@ -254,13 +259,13 @@ def add_batch(index: FingerprintIndex, batch: DataFrame, corpus: DataFrame) -> D
     before = found.filter("own > 0 AND n - own = 1").select(*old)
     copies = keyed_join(members, found.filter("own > 1").select("fp", "area", F.col("own").alias("n")), ["fp", "area"], members.count()).select(*PLACE)
     there = [F.coalesce(c, o).alias(c) for c, o in zip(PLACE, index.OLD, strict=True)]
-    open_ = written(_spans(found.filter("mixed").select(*there)), "fingerprint-places")
+    open_ = written(_spans(_windows(found.filter("mixed").select(*there))), "fingerprint-places")
     if open_.count() <= MOST_PLACES:
         corpus = corpus.join(F.broadcast(open_.select("k1", "k2")), ["k1", "k2"], "left_semi")
     windows = written(_window_hashes(corpus.join(open_, ["k1", "k2"]).dropDuplicates(["k1", "k2"])), "fingerprint-windows")
     twice = written(windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "fingerprint-windows")
     single = keyed_join(windows, twice, ["w1", "w2"], windows.count()).select("k1", "k2", F.col("at").alias("lo"), F.col("at").alias("hi"))
-    return alone.unionByName(before).unionByName(copies).unionByName(single)
+    return _windows(alone.unionByName(before).unionByName(copies)).unionByName(single)
 
 
 def removed(docs: DataFrame, spans: DataFrame, texts: bool = True) -> DataFrame:
