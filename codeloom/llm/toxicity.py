@@ -36,7 +36,7 @@ ALERT = 0.7
 PRIOR = 4.0  # texts that smooth a slot's odds
 ROUNDS, RATE, EMBED_RATE, DECAY = 40, 0.1, 0.01, 0.02
 CHUNK = 1 << 16  # words that go through training at once
-LEAST_BY_LANGUAGE = 60  # calibration rows below which a language has the threshold of all
+LEAST_BY_LANGUAGE = 20  # calibration rows below which a language has the threshold of all
 
 
 def slotted(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

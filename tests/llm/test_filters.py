@@ -155,14 +155,44 @@ def test_toxicity_without_examples(spark, docs):
 
 
 def test_pooling_spans_texts_of_any_length(prose):
-    model = toxicity.fit_rows([np.array([[k % 50, k % 7]] * 3, np.int32) for k in range(40)], np.array([0, 1] * 20), [None] * 40)
-    parts = [np.array([[5, 1]] * n, np.int32).reshape(-1, 2) for n in (0, 1, 2, 5, 0, 900)]
+    model = toxicity.fit_rows([np.array([[k % 50, k % 7, k % 3]] * 3, np.int32) for k in range(40)], np.array([0, 1] * 20), [None] * 40)
+    parts = [np.array([[5, 1, 2]] * n, np.int32).reshape(-1, toxicity.PARTS) for n in (0, 1, 2, 5, 0, 900)]
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     together = model.raw(np.concatenate(parts), at)
     alone = [model.raw(p, np.array([0, len(p)]))[0] for p in parts]
     assert together == pytest.approx(alone)
 
 
+def test_parts_of_the_sample_share_no_row():
+    labels = np.array([0] * 30 + [1] * 20)
+    part = toxicity.parts(labels)
+    assert [[int(((part == k) & (labels == c)).sum()) for k in range(3)] for c in (0, 1)] == [[21, 6, 3], [14, 4, 2]]
+
+
+def test_embeddings_are_trained():
+    r = np.random.default_rng(1)
+    rows = [r.integers(0, 40, (12, toxicity.PARTS)).astype(np.int32) + 40 * (k % 2) * (r.random((12, 1)) < 0.4) for k in range(60)]
+    model, begun = toxicity.Model(), toxicity.Model()
+    labels = np.array([k % 2 for k in range(60)])
+    begun.begin([x.astype(np.int32) for x in rows], labels)
+    model.train([x.astype(np.int32) for x in rows], labels)
+    assert (model.slots == begun.slots).all() and (model.embedding[0] == 0).all()
+    assert (np.abs(model.embedding[1:] - begun.embedding[1:]).max(axis=0) > 1e-3).all()
+
+
+def test_very_long_toxic_texts(prose):
+    """The toxic words come last, after a text of many pieces."""
+    import pyarrow as pa
+
+    rows = toxic_rows(prose, 300, 4)
+    slots = [s[at[k] : at[k + 1]] for _, s, at in toxicity.slotted(pa.array([t for _, t, _, _ in rows])) for k in range(len(at) - 1)]
+    model = toxicity.fit_rows(slots, np.array([y for *_, y in rows]), [g for _, _, g, _ in rows])
+    clean = " ".join(prose(5, 400_000, 900))
+    assert len(clean) > 2 << 20
+    low, high = model.scores(pa.array([clean, clean + " idiotic scummy vile idiotic"]))
+    assert low < 0.7 and high > low + 0.05
+
+
 URLS = [
     ("http://Example.COM/en/12?x=1", "example.com", "/en/12", "com/en/", "block"), ("https://a.example.com/en/7/9#t", "a.example.com", "/en/7/9", "example.com/en/7", "allow"),
     ("http://x.net/de/8", "x.net", "/de/8", "net/de/", "allow"), ("http://w.example.net/de/81", "w.example.net", "/de/81", "example.net/de/8", "block"),
