@@ -506,7 +506,7 @@ def _(spark, d):
 @query("resolve_extracted", """WITH each AS (SELECT p_partkey AS k, concat('src/', p_partkey, '.ts') AS path FROM part)
 SELECT substr(sha256(concat(path, ':make', k, ':Function')), 1, 16) AS from_uid, substr(sha256(concat(path, ':use', k, ':Function')), 1, 16) AS to_uid, 'CALLS' AS type, 0.95::DOUBLE AS confidence FROM each""", graph="one AS (SELECT 1)")
 def _(spark, d):
-    found = extract.records(_sources(spark, d))
+    found = cut(extract.records(_sources(spark, d).repartition("path")))  # read five times; few bytes of part give many files
     return resolve.resolve(extract.calls_of(found), extract.nodes_of(found))
 
 

@@ -29,14 +29,17 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A dotted name counts by what follows its first dot. Prefixed names are base types. What has no candidate, or is the
     caller itself, goes. Several references between two symbols give one edge of a type, with the highest confidence.
+
+    All joins sort and merge. Symbols often come from Python functions or packed files, for which Spark expects far less than
+    there is, and a broadcast that is planned on such a size isn't taken back when the real one is known: the driver would hold it.
     """
     caller = nodes.select(F.col("uid").alias("from_uid"), "file_path", package().alias("package"))
     kind = F.lit("CALLS")
     for prefix, name in HERITAGE.items():
         kind = F.when(F.col("callee_name").startswith(prefix), F.lit(name)).otherwise(kind)
     bare = F.regexp_replace("callee_name", "^(" + "|".join(HERITAGE) + ")", "")
-    asked = refs.select("from_uid", kind.alias("type"), T.unqualified(bare).alias("name")).distinct().join(caller, "from_uid")
-    f, p, g = scopes(nodes)
+    asked = refs.select("from_uid", kind.alias("type"), T.unqualified(bare).alias("name")).distinct().join(caller.hint("merge"), "from_uid")
+    f, p, g = (scope.hint("merge") for scope in scopes(nodes))
     found = asked.join(f, ["file_path", "name"], "left").join(p, ["package", "name"], "left").join(g, "name", "left")
     sure = lambda n, c: F.when(F.col(n) == 1, F.lit(c)).otherwise(F.lit(AMBIGUOUS))
     confidence = F.when(F.col("f_uid").isNotNull(), sure("f_n", FILE)).when(F.col("p_uid").isNotNull(), sure("p_n", PACKAGE)).otherwise(sure("g_n", GLOBAL))
